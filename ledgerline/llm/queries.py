@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .generated import generated_files
 from .secrets import find_secrets, redact
 
 
@@ -27,5 +28,19 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(_diffs(spark, d), "id", "raw_diff").where("n_redacted > 0").distinct().withColumnRenamed("id", "file_change_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
+def _by_hand(spark: SparkSession, d: str) -> DataFrame:
+    files = _table(spark, d, "file_changes").select("id", "filename", "raw_diff", "commit_hash")
+    repos = _table(spark, d, "commits").select(F.col("hash").alias("link"), F.col("project_id").cast("string").alias("repo"))
+    return generated_files(files, "id", "filename", "raw_diff", "commit_hash", repos)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _by_hand(spark, d).select(F.col("id").alias("file_change_id"))
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _by_hand(spark, d).groupBy("reason").agg(F.count("*").alias("n_files"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 ORACLES: dict[str, str] = {}
