@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import groups_from_lists
 from .generated import generated_files
 from .secrets import find_secrets, redact
 
@@ -42,5 +43,27 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _by_hand(spark, d).groupBy("reason").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
-ORACLES: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.regexp_replace(F.lower(F.trim("kind")), "-", "_")
+    issues = _table(spark, d, "identity_issues").where(kind.isin("split_identity", "cross_submission"))
+    groups = groups_from_lists(issues, "author_ids", _table(spark, d, "authors"), "id")
+    return groups.select(F.col("node").alias("author_id"), F.col("component").alias("group_id"))
+
+
+def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p5_found(spark, d).groupBy("group_id").agg(F.count("*").alias("n_authors"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+_GROUPS = """
+with recursive k as (select distinct id from authors where id is not null),
+l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),
+x as (select distinct r, i from (select r, unnest(author_ids) as i from l) where i in (select id from k)),
+e as (select distinct a.i as a, b.i as b from x a join x b on a.r = b.r where a.i <> b.i),
+reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+g as (select a as author_id, least(a, min(b)) as group_id from reach group by a)
+"""
+ORACLES: dict[str, str] = {
+    "p5_found": _GROUPS + "select author_id, group_id from g",
+    "p5_group_sizes": _GROUPS + "select group_id, count(*) as n_authors from g group by group_id",
+}
