@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .components import groups_from_lists
 from .generated import generated_files
 from .secrets import find_secrets, redact
+from .spans import shared_spans
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,7 +55,18 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("group_id").agg(F.count("*").alias("n_authors"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    diffs = _table(spark, d, "file_changes").select("id", F.col("raw_diff").alias("seq"))
+    diffs = shared_spans(diffs, span=200, k=100, text=True)
+    diffs = diffs.select(F.lit("diff").alias("record_kind"), F.col("id").cast("string").alias("record_key"), "shared_len")
+    prints = _table(spark, d, "project_fingerprints").select("project_id", "file_path", "token_pos", "hash_value").where("file_path is not null and token_pos is not null and hash_value is not null")
+    files = prints.groupBy("project_id", "file_path", "token_pos").agg(F.min("hash_value").alias("hash_value"))
+    files = files.groupBy(F.concat_ws(":", "project_id", "file_path").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", "hash_value"))), lambda x: x["hash_value"]).alias("seq"))
+    files = shared_spans(files, span=20, k=10, text=False)
+    return diffs.unionByName(files.select(F.lit("file").alias("record_kind"), F.col("id").alias("record_key"), "shared_len"))
+
+
+QUERIES = {"p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 _GROUPS = """
 with recursive k as (select distinct id from authors where id is not null),
 l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),
