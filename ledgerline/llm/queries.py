@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .components import groups_from_lists
 from .generated import generated_files
+from .leakage import leaked_items
 from .secrets import find_secrets, redact
 from .spans import shared_spans
 
@@ -66,7 +67,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return diffs.unionByName(files.select(F.lit("file").alias("record_kind"), F.col("id").alias("record_key"), "shared_len"))
 
 
-QUERIES = {"p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    hits = leaked_items(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "text")
+    return hits.select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 _GROUPS = """
 with recursive k as (select distinct id from authors where id is not null),
 l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),
