@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .components import groups_from_lists
 from .generated import generated_files
 from .leakage import leaked_items
+from .quality import COMMON_WORDS, not_prose, rule_failures, text_statistics
 from .secrets import find_secrets, redact
 from .spans import shared_spans
 
@@ -72,7 +73,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    s = text_statistics(_table(spark, d, "documents"), "doc_id", "text")
+    r = lambda c: F.round(c, 6).alias(c)
+    return s.select("doc_id", "n_words", r("mean_word_length"), r("symbol_share"), r("punctuated_line_share"), r("bullet_line_share"), r("ellipsis_line_share"), r("common_word_share"), r("alpha_word_share"))
+
+
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Per document the published rules that it fails, joined by commas."""
+    s = text_statistics(_table(spark, d, "documents"), "doc_id", "text")
+    return s.select("doc_id", F.array_join(rule_failures(s), ",").alias("reasons"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 _GROUPS = """
 with recursive k as (select distinct id from authors where id is not null),
 l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),
@@ -81,7 +98,24 @@ e as (select distinct a.i as a, b.i as b from x a join x b on a.r = b.r where a.
 reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
 g as (select a as author_id, least(a, min(b)) as group_id from reach group by a)
 """
+_COMMON = ", ".join("'" + w + "'" for w in sorted(set(COMMON_WORDS)))
+_STATS = f"""
+with t as (select doc_id, replace(coalesce(text, ''), chr(13), '') as t from documents),
+p as (select doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\x{{00A0}}]+'), lambda w: w <> '') as w, list_filter(string_split(t, chr(10)), lambda x: length(trim(x)) > 0) as l from t),
+q as (select *, len(w) as n, len(l) as m, length(regexp_replace(t, '[ \\t\\n\\x0B\\f]', '', 'g')) as size from p),
+s as (select doc_id, cast(n as integer) as n_words,
+  case when n > 0 then list_sum(list_transform(w, lambda x: length(x))) / n else 0 end as mean_word_length,
+  case when size > 0 then len(regexp_extract_all(t, '[{{}}\\[\\]()=<>_/\\\\|@#$%^&*+~`"]')) / size else 0 end as symbol_share,
+  case when m > 0 then len(list_filter(l, lambda x: regexp_matches(x, '[.!?;:…]["''’”»)]*\\s*$'))) / m else 0 end as punctuated_line_share,
+  case when m > 0 then len(list_filter(l, lambda x: regexp_matches(x, '^\\s*(?:[-*•+·‣▪◦–—]|\\(?\\d{{1,3}}[.)]|\\[[ xX]\\]|\\(?[a-zA-Z][.)])\\s+'))) / m else 0 end as bullet_line_share,
+  case when m > 0 then len(list_filter(l, lambda x: regexp_matches(x, '(?:\\.\\.\\.|…)\\s*$'))) / m else 0 end as ellipsis_line_share,
+  case when n > 0 then len(list_filter(w, lambda x: lower(regexp_replace(x, '^[^\\p{{L}}\\d]+|[^\\p{{L}}\\d]+$', '', 'g')) in ({_COMMON}))) / n else 0 end as common_word_share,
+  case when n > 0 then len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) / n else 0 end as alpha_word_share,
+  len(list_distinct(list_filter(list_transform(w, lambda x: lower(regexp_replace(x, '^[^\\p{{L}}\\d]+|[^\\p{{L}}\\d]+$', '', 'g'))), lambda x: x in ({_COMMON})))) as n_common from q)
+"""
 ORACLES: dict[str, str] = {
+    "p10_statistics": _STATS + "select doc_id, n_words, " + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in ("mean_word_length", "symbol_share", "punctuated_line_share", "bullet_line_share", "ellipsis_line_share", "common_word_share", "alpha_word_share")) + " from s",
+    "p10_reasons": _STATS + "select doc_id, array_to_string(list_filter([case when n_words < 50 then 'too_few_words' end, case when n_words > 100000 then 'too_many_words' end, case when mean_word_length < 3 or mean_word_length > 10 then 'mean_word_length' end, case when symbol_share > 0.1 then 'symbols' end, case when bullet_line_share > 0.9 then 'bullet_lines' end, case when ellipsis_line_share > 0.3 then 'ellipsis_lines' end, case when alpha_word_share < 0.8 then 'words_without_letters' end, case when n_common < 2 then 'few_common_words' end, case when punctuated_line_share < 0.1 then 'lines_without_punctuation' end], lambda x: x is not null), ',') as reasons from s",
     "p5_found": _GROUPS + "select author_id, group_id from g",
     "p5_group_sizes": _GROUPS + "select group_id, count(*) as n_authors from g group by group_id",
 }
