@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .components import groups_from_lists
 from .generated import generated_files
 from .leakage import leaked_items
+from .packing import pack, with_token_counts
 from .quality import COMMON_WORDS, not_prose, rule_failures, text_statistics
 from .secrets import find_secrets, redact
 from .spans import shared_spans
@@ -89,7 +90,28 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.array_join(rule_failures(s), ",").alias("reasons"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+#: A public vocabulary; the queries take the path from the session if it is set there.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    path = spark.conf.get("ledgerline.tokenizer", TOKENIZER)
+    sizes = with_token_counts(_table(spark, d, "documents"), "doc_id", "text", path)
+    return pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens in them, the fewest containers that could hold these tokens, and the share of room used."""
+    p = _packed(spark, d).where("container_id is not null")
+    s = p.agg(F.count_distinct("container_id").alias("n_containers"), F.sum("piece_size").alias("n_tokens"))
+    return s.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / 2048).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * 2048), 6).alias("used_share"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 _GROUPS = """
 with recursive k as (select distinct id from authors where id is not null),
 l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),
