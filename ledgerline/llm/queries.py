@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .components import groups_from_lists
 from .generated import generated_files
 from .leakage import leaked_items
+from .names import pairs_of, same_names
 from .packing import pack, with_token_counts
 from .quality import COMMON_WORDS, not_prose, rule_failures, text_statistics
 from .secrets import find_secrets, redact
@@ -111,7 +112,21 @@ def p8_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / 2048).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * 2048), 6).alias("used_share"))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return same_names(_table(spark, d, "identity_records"), "id", "name", "email", "name_variants")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(_entities(spark, d), "id", "entity")
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Per record its entity and the number of records linked to it."""
+    e = _entities(spark, d)
+    return e.join(e.groupBy("entity").agg((F.count("*") - 1).alias("n_links")), "entity").select("id", "entity", "n_links")
+
+
+QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 _GROUPS = """
 with recursive k as (select distinct id from authors where id is not null),
 l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),
