@@ -465,10 +465,10 @@ def _spellings(keys: DataFrame) -> DataFrame:
     right = prefix.select("given", "gram", F.col("family").alias("g"), F.col("n").alias("gn"), F.col("size").alias("gs"), F.col("sure").alias("gsure"))
     pairs = left.join(right, ["given", "gram"]).where("f <> g and (gsure or gn > fn or (gn = fn and g < f)) and abs(fs - gs) <= 2").select("given", "f", "fn", "g", "gn", "gsure").distinct()
     # Soft token similarity, rare tokens counting more: the given name is the same, so its share is its weight.
-    total = keys.agg(F.sum("n").alias("total"))
-    weight = lambda n: F.log(1 + F.col("total") / n)
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    weight = lambda n: F.log(1 + F.lit(float(total)) / n)
     common = keys.groupBy("given").agg(F.sum("n").alias("given_n"))
-    pairs = pairs.join(common, "given").crossJoin(F.broadcast(total))
+    pairs = pairs.join(common, "given")
     slips = F.levenshtein("f", "g")
     swapped = slips - F.when((slips == 2) & (F.length("f") == F.length("g")) & (F.array_join(F.array_sort(F.split("f", "")), "") == F.array_join(F.array_sort(F.split("g", "")), "")), 1).otherwise(0)
     wg, wf = weight(F.col("given_n")), weight(F.greatest("fn", "gn"))
