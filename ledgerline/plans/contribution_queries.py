@@ -122,21 +122,21 @@ def coauthors_only(s: SparkSession, d: str) -> DataFrame:
 
 
 def pacing_summary(s: SparkSession, d: str) -> DataFrame:
-    return tl.pacing(t.commits(s, d))
+    return tl.pacing(t.commits(s, d)).withColumn("peak_day", F.col("peak_day").cast("string"))
 
 
 def commit_timeline_daily(s: SparkSession, d: str) -> DataFrame:
-    return tl.daily(t.commits(s, d))
+    return tl.daily(t.commits(s, d)).withColumn("day", F.col("day").cast("string"))
 
 
 def activity_weekly_zero_filled(s: SparkSession, d: str) -> DataFrame:
     c = t.commits(s, d).where("commit_ts between timestamp_ntz'2024-01-01' and timestamp_ntz'2025-12-31'")
-    return tl.zero_filled_weeks(c)
+    return tl.zero_filled_weeks(c).withColumn("week", F.col("week").cast("string"))
 
 
 def activity_monthly(s: SparkSession, d: str) -> DataFrame:
     c = t.commits(s, d).where("commit_ts is not null")
-    return c.groupBy(F.trunc("commit_ts", "month").alias("month")).agg(F.count("*").alias("n_commits"), F.count_distinct("author_id").alias("n_authors"))
+    return c.groupBy(F.date_format("commit_ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_commits"), F.count_distinct("author_id").alias("n_authors"))
 
 
 def late_commits(s: SparkSession, d: str) -> DataFrame:
@@ -184,10 +184,10 @@ ORACLES = {
     "file_collector_rules": f"with f as (select distinct {q.PATH.format('filename')} as path from file_changes where filename is not null), g as (select path, {q.BASE.format('path')} as b, {q.EXT.format('path')} as e, string_split(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '/') as ds from f) select path, {q.case(rules.GRAMMARS, 'e')} as grammar from g where e in {q.strings(rules.COMPARED_EXTENSIONS)} and lower(b) not in {q.strings(rules.EXCLUDED_FILES)} and not list_has_any(ds, [{', '.join(repr(x) for x in rules.EXCLUDED_DIRS)}]) and not regexp_full_match(lower(b), '{_GLOB}')",
     "branch_counts": f"with {q.C}, {q.P}, b as (select project_id, unnest(['main', 'feature/' || (insertions % 6)]) as branch from c where project_id is not null), n as (select project_id, branch, count(*) as n_commits from b group by all) select project_id, branch, n_commits from n union all select id, 'release/empty', 0 from p",
     "coauthors_only": f"with {q.C}, {q.A}, {_TRAIL} select * from silent",
-    "pacing_summary": f"with {q.C}, d as (select project_id, cast(commit_ts as date) as day, count(*) as n from c where project_id is not null and commit_ts is not null group by all) select project_id, arg_min(day, (-n, day)) as peak_day, max(n) as peak_commits, round(avg(n), 6) as per_active_day, cast(max(day) - min(day) + 1 as integer) as span_days, count(*) as active_days from d group by project_id",
-    "commit_timeline_daily": f"with {q.C} select project_id, cast(commit_ts as date) as day, count(*) as n_commits, cast(sum(coalesce(insertions, 0)) as bigint) as lines_added from c where project_id is not null and commit_ts is not null group by all",
-    "activity_weekly_zero_filled": f"with {q.C}, w as (select project_id, cast(commit_ts as date) - cast(dayofweek(commit_ts) as integer) as week, count(*) as n from c where project_id is not null and commit_ts between '2024-01-01' and '2025-12-31' group by all), s as (select project_id, cast(unnest(generate_series(min(week), max(week), interval 7 day)) as date) as week from w group by project_id) select s.project_id, s.week, coalesce(w.n, 0) as n_commits from s left join w on w.project_id = s.project_id and w.week = s.week",
-    "activity_monthly": f"with {q.C} select cast(date_trunc('month', commit_ts) as date) as month, count(*) as n_commits, count(distinct author_id) as n_authors from c where commit_ts is not null group by 1",
+    "pacing_summary": f"with {q.C}, d as (select project_id, cast(commit_ts as date) as day, count(*) as n from c where project_id is not null and commit_ts is not null group by all) select project_id, cast(arg_min(day, (-n, day)) as varchar) as peak_day, max(n) as peak_commits, round(avg(n), 6) as per_active_day, cast(max(day) - min(day) + 1 as integer) as span_days, count(*) as active_days from d group by project_id",
+    "commit_timeline_daily": f"with {q.C} select project_id, cast(cast(commit_ts as date) as varchar) as day, count(*) as n_commits, cast(sum(coalesce(insertions, 0)) as bigint) as lines_added from c where project_id is not null and commit_ts is not null group by all",
+    "activity_weekly_zero_filled": f"with {q.C}, w as (select project_id, cast(commit_ts as date) - cast(dayofweek(commit_ts) as integer) as week, count(*) as n from c where project_id is not null and commit_ts between '2024-01-01' and '2025-12-31' group by all), s as (select project_id, cast(unnest(generate_series(min(week), max(week), interval 7 day)) as date) as week from w group by project_id) select s.project_id, cast(s.week as varchar) as week, coalesce(w.n, 0) as n_commits from s left join w on w.project_id = s.project_id and w.week = s.week",
+    "activity_monthly": f"with {q.C} select strftime(commit_ts, '%Y-%m') as month, count(*) as n_commits, count(distinct author_id) as n_authors from c where commit_ts is not null group by 1",
     "late_commits": f"with {q.D} select project_id, author_id, count(*) as n_late from d where commit_ts > deadline and author_id is not null group by all",
     "timing_flags": f"with {q.D}, h as (select project_id, (epoch_us(deadline) - epoch_us(commit_ts)) / 3.6e9 as h from d where deadline is not null and commit_ts is not null) select project_id, case when h < 0 then 'after_deadline' when h <= 48 then 'before_deadline_close' else 'normal' end as timing, count(*) as n_commits, round(min(h), 1) as least_hours from h group by 1, 2",
     "pacing_note": f"with {q.D}, r as (select project_id, cast(count(*) filter (coalesce(insertions, 0) + coalesce(deletions, 0) >= 50) as bigint) as n_big, cast(count(*) filter (coalesce(insertions, 0) + coalesce(deletions, 0) >= 50 and (epoch_us(deadline) - epoch_us(commit_ts)) / 3.6e9 <= 72) as bigint) as n_last from d where deadline is not null and commit_ts is not null group by project_id) select project_id, n_big, n_last, case when n_last / n_big >= 0.4 then 'rushed' when n_last / n_big >= 0.2 then 'late push' else 'steady' end as pace from r where n_big > 0",

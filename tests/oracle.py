@@ -33,7 +33,9 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 
 def compare(spark, d: str, name: str, f, sql: str | None) -> str:
     t = time.time()
-    got = f(spark, d).toPandas()
+    frame = f(spark, d)
+    kinds = {k: v for k, v in frame.dtypes}
+    got = frame.toPandas()
     took = time.time() - t
     if sql is None:
         return f"rows {len(got)} (no SQL) {took:.1f}s"
@@ -41,13 +43,16 @@ def compare(spark, d: str, name: str, f, sql: str | None) -> str:
     for p in Path(d).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p if p.is_file() else str(p) + '/*.parquet'}'")
     want = con.execute(sql).fetch_df()
+    same = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    types = {r[0]: r[1] for r in con.execute("describe " + sql).fetchall()}
+    off = {k: (v, types.get(k)) for k, v in kinds.items() if same.get(v) != types.get(k) and v in same}
     if sorted(got.columns) != sorted(want.columns):
         return f"DIFF columns {sorted(got.columns)} {sorted(want.columns)}"
     a, b = normal(got), normal(want)
     if a != b:
         sa, sb = set(a), set(b)
         return f"DIFF rows {len(a)} {len(b)} only here {list(sa - sb)[:3]} only SQL {list(sb - sa)[:3]}"
-    return f"ok {len(a)} {took:.1f}s"
+    return f"ok {len(a)} {took:.1f}s" + (f" TYPES {off}" if off else "")
 
 
 if __name__ == "__main__":
