@@ -23,9 +23,10 @@ FRAGMENT = "id bigint, exit bigint, cyclic boolean, root bigint, seg string"
 
 def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The fragment of one partition: for each row its exit, or its root, or that its chain never ends."""
-    rows = pd.concat(list(frames), ignore_index=True)
-    if rows.empty:
+    parts = [f for f in frames if len(f)]
+    if not parts:
         return
+    rows = pd.concat(parts, ignore_index=True)
     parent = {i: (None if pd.isna(p) else int(p)) for i, p in zip(rows["id"].tolist(), rows["parent"].tolist())}
     seg, root, bad = (dict(zip(rows["id"], rows[c])) for c in ("seg", "root", "cyclic"))
     done: dict[int, tuple] = {}  # id -> (exit, cyclic, root, path below the exit)
