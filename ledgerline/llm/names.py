@@ -113,15 +113,21 @@ NICK_RECORDS, NICK_SHARE = 4, 0.8
 _LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "đ": "d", "Đ": "D", "ð": "d", "þ": "th", "ı": "i"})
 
 
-def fold(s: str) -> str:
-    """Letters without marks; text that was decoded with the wrong one-byte code is mended first."""
+_MISREAD = re.compile("[\u00c2-\u00c5][\u0080-\u00bf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]")
+
+
+def _mend(m: re.Match) -> str:
     for code in ("latin-1", "cp1252"):
-        if re.search("[ÃÂÅÄ][\x80-\xbf‘-›€‚ƒ„…†‡ˆ‰Š‹ŒŽ™š›œžŸ¡-¿]", s):
-            try:
-                s = s.encode(code).decode("utf-8")
-            except ValueError:
-                continue
-    s = s.translate(_LETTERS)
+        try:
+            return m.group().encode(code).decode("utf-8")
+        except ValueError:
+            continue
+    return m.group()
+
+
+def fold(s: str) -> str:
+    """Letters without marks; two-byte letters that were decoded one byte at a time are mended first."""
+    s = _MISREAD.sub(_mend, s).translate(_LETTERS)
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 

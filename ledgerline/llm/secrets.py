@@ -49,7 +49,7 @@ RULES = [
     Rule("basic", r"\bBasic\s{1,3}([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", "basic"),
     Rule("bearer", r"\bBearer\s{1,3}([A-Za-z0-9_.~+/=-]{16,})", "token"),
     Rule("named_string", _NAME + r"""[\w.\]-]{0,20}?["'`]?\]?\s{0,20}(?::=|=>|=|:|,)\s{0,20}""" + _STR + r"""([^"'`\r\n]{3,400})["'`]""", "either"),
-    Rule("named_bare", _NAME + r"[\w-]{0,20}?\s{0,3}[=:]\s{0,8}([^\s\"'`#;,(){}<>\[\]$]{6,400})\s{0,3}(?:$|\r|#|;|,)", "bare"),
+    Rule("named_bare", _NAME + r"[\w-]{0,20}?\s{0,3}[=:]\s{0,8}((?!\$)[^\s\"'`;,(){}<>\[\]]{6,400})\s{0,3}(?:$|\r|(?<=\s)#|;|,)", "bare"),
     Rule("env_key", r"(?<![a-z])(?:[a-z0-9]{1,30}_){1,4}key[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?([^\s\"'`;,(){}<>\[\]$]{16,400})", "token"),
     Rule("xml_value", _NAME + r"""["']\s{1,3}value\s{0,2}=\s{0,2}["']([^"'<>]{3,400})["']""", "either"),
     Rule("xml_text", r"<(?:[\w.-]{0,40})" + _NAME + r"(?:\s[^<>]{0,80})?>([^<>\s]{4,400})</", "either"),
