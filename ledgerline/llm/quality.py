@@ -38,38 +38,55 @@ def _size(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\s", ""))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _sentence(c: Column) -> Column:
     """Whether a piece of text reads as a sentence: words rather than symbols, some of them function words."""
-    bare = F.regexp_replace(c, r"(?:https?|ftp)://\S+", "link")
-    words = F.regexp_extract_all(F.lower(bare), F.lit(f"({_WORD})"), F.lit(1))
-    n = F.size(words)
-    size = _size(bare)
-    common = F.size(F.filter(words, lambda w: w.isin(COMMON_WORDS)))
-    distinct = F.size(F.array_distinct(words))
-    return (
-        (n >= 4)
-        & (n <= 1.5 * F.size(F.split(F.trim(bare), r"\s+")))
-        & (F.regexp_count(bare, F.lit(_SYMBOL)) <= 0.06 * size)
-        & (F.length(F.regexp_replace(bare, r"[^\p{L}]", "")) >= 0.75 * size)
-        & (common >= 0.12 * n)
-        & (distinct >= F.least(F.lit(10.0), F.greatest(F.lit(3.0), 0.3 * n)))
-    )
+
+    def judged(bare: Column) -> Column:
+        size = _size(bare)
+        plain = (F.regexp_count(bare, F.lit(_SYMBOL)) <= 0.06 * size) & (F.length(F.regexp_replace(bare, r"[^\p{L}]", "")) >= 0.75 * size)
+        words = F.regexp_extract_all(F.lower(bare), F.lit(f"({_WORD})"), F.lit(1))
+
+        def wordy(w: Column) -> Column:
+            n = F.size(w)
+            return (
+                (n >= 4)
+                & (n <= 1.5 * F.size(F.split(F.trim(bare), r"\s+")))
+                & (F.size(F.filter(w, lambda x: x.isin(COMMON_WORDS))) >= 0.12 * n)
+                & (F.size(F.array_distinct(w)) >= F.least(F.lit(10.0), F.greatest(F.lit(3.0), 0.3 * n)))
+            )
+
+        return plain & _let(words, wordy)
+
+    return _let(F.regexp_replace(c, r"(?:https?|ftp)://\S+", "link"), judged)
 
 
 def _prose_size(block: Column) -> Column:
     """Non-blank characters of a block (lines without a blank one between) that stand in sentences."""
-    lines = F.filter(F.split(block, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    bullets = F.filter(lines, lambda x: x.rlike(_BULLET))
-    rest = F.transform(F.filter(lines, lambda x: ~x.rlike(_BULLET)), lambda x: F.regexp_replace(x, _PREFIX, ""))
-    text = F.array_join(rest, " ")
-    n = F.regexp_count(text, F.lit(_WORD))
-    ended = F.regexp_count(text, F.lit(_ENDED))
-    # With closing punctuation the text is cut there, whatever its line breaks; without, long lines stand for
-    # sentences, and short ones are a list.
-    parts = F.when(ended * 30 >= n, F.split(text, r"(?<=[.!?;…])\s+")).when(n >= 7 * F.size(rest), rest).otherwise(F.array().cast("array<string>"))
     add = lambda a, x: a + _size(x)
-    listed = F.filter(bullets, lambda x: (F.regexp_count(x, F.lit(_WORD)) >= 9) & _sentence(F.regexp_replace(x, _BULLET, "")))
-    return F.aggregate(F.filter(parts, _sentence), F.lit(0), add) + F.aggregate(listed, F.lit(0), add)
+
+    def measured(lines: Column) -> Column:
+        bullets = F.filter(lines, lambda x: x.rlike(_BULLET))
+        listed = F.filter(bullets, lambda x: (F.regexp_count(x, F.lit(_WORD)) >= 9) & _sentence(F.regexp_replace(x, _BULLET, "")))
+        rest = F.transform(F.filter(lines, lambda x: ~x.rlike(_BULLET)), lambda x: F.regexp_replace(x, _PREFIX, ""))
+
+        def running(rest: Column) -> Column:
+            def cut(text: Column) -> Column:
+                n = F.regexp_count(text, F.lit(_WORD))
+                ended = F.regexp_count(text, F.lit(_ENDED))
+                # With closing punctuation the text is cut there, whatever its line breaks; without, long lines stand
+                # for sentences, and short ones are a list.
+                return F.when(ended * 30 >= n, F.split(text, r"(?<=[.!?;…])\s+")).when(n >= 7 * F.size(rest), rest).otherwise(F.array().cast("array<string>"))
+
+            return F.aggregate(F.filter(_let(F.array_join(rest, " "), cut), _sentence), F.lit(0), add)
+
+        return _let(rest, running) + F.aggregate(listed, F.lit(0), add)
+
+    return _let(F.filter(F.split(block, "\n"), lambda x: F.length(F.trim(x)) > 0), measured)
 
 
 def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
