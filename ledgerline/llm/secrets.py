@@ -121,7 +121,9 @@ def judge(rule: Rule, value: str, before: str) -> bool:
     if rule.kind == "key":
         return True
     if rule.kind == "prefixed":
-        return not _stand_in(value) and len(set(value)) > 7
+        # Hyphenated words in small letters may begin like a service key.
+        random = rule.name != "service_key" or bool(re.search(r"\d", value) or re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
+        return random and not _stand_in(value) and len(set(value)) > 7
     if rule.kind == "basic":
         try:
             raw = base64.b64decode(value + "=" * (-len(value) % 4)).decode("utf-8")
