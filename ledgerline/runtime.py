@@ -20,12 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def home(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that were not written elsewhere go with them."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("ledgerline_run_"):
+            spark.sql(f"drop table if exists {t.name}")
+    remove(spark, home(spark))
+
+
 class Workspace:
     """Tables written once and read back, so that lineage ends there and lost executors cost no recomputation."""
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/ledgerline/{purpose}-{uuid.uuid4().hex}"
+        self.root = f"{home(spark)}/{purpose}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
@@ -35,9 +53,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, path)
 
     def replace(self, df: DataFrame, name: str) -> DataFrame:
         """Write a new version of ``name`` and remove the one before, which nothing reads any more."""

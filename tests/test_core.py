@@ -98,3 +98,15 @@ def test_plans(spark):
     for q in (contribution_queries.QUERIES["file_evidence_top6"], people_queries.QUERIES["pushed_by_other"], contribution_queries.QUERIES["late_commits"]):
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "raw_diff" not in plan
+
+
+def test_intermediate_tables_are_removed(spark):
+    from pathlib import Path as P
+
+    from ledgerline import runtime
+
+    space = runtime.Workspace(spark, "x")
+    df = space.write(spark.range(3), "t")
+    assert df.count() == 3 and P(runtime.home(spark).removeprefix("file://")).exists()
+    runtime.clean(spark)
+    assert not P(runtime.home(spark).removeprefix("file://")).exists()
