@@ -453,36 +453,46 @@ def profiles(records: DataFrame, key: str, name: str, email: str, variants: str,
 GRAM_SHARE, SAME = 0.45, 0.9
 
 
-def _spellings(keys: DataFrame) -> DataFrame:
-    """keys(given, family, n, sure) -> given, family, to: unsure spellings and the better-known one of the same name.
+def _alike(left: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """left(by, family, n) x keys(by, family, n, sure) -> by, f, g, gn, gsure: every two spellings verified as one name.
 
-    Set-similarity join on the two-letter grams of the family name among keys of one given name, by prefix filter: with
-    grams in order of rarity, two sets that share enough of them share one among the first few.
+    Set-similarity join on the two-letter grams of the family name among keys of one given name (or initial), by prefix
+    filter: with grams in order of rarity, two sets that share enough of them share one among the first few.
     """
+
     padded = F.concat(F.lit("^"), F.col("family"), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, 2)))
-    keys = keys.withColumn("grams", grams)
-    rarity = keys.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    long = keys.select("given", "family", "n", "sure", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(rarity, "gram")
-    order = Window.partitionBy("given", "family").orderBy("df", "gram")
-    prefix = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * GRAM_SHARE) + 1)
-    # Only unsure keys look for another; the other side is any better-known key.
-    left = prefix.where("not sure").select("given", "gram", F.col("family").alias("f"), F.col("n").alias("fn"), F.col("size").alias("fs"))
-    right = prefix.select("given", "gram", F.col("family").alias("g"), F.col("n").alias("gn"), F.col("size").alias("gs"), F.col("sure").alias("gsure"))
-    pairs = left.join(right, ["given", "gram"]).where("f <> g and (gsure or gn > fn or (gn = fn and g < f)) and abs(fs - gs) <= 2").select("given", "f", "fn", "g", "gn", "gsure").distinct()
+    rarity = keys.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def prefix(k: DataFrame, *more: str) -> DataFrame:
+        k = k.withColumn("grams", grams)
+        long = k.select(by, "family", "n", *more, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+        # Grams that no key has come first, as the rarest.
+        long = long.join(rarity, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        order = Window.partitionBy(by, "family").orderBy("df", "gram")
+        return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * GRAM_SHARE) + 1)
+
+    one = prefix(left).select(by, "gram", F.col("family").alias("f"), F.col("n").alias("fn"), F.col("size").alias("fs"))
+    other = prefix(keys, "sure").select(by, "gram", F.col("family").alias("g"), F.col("n").alias("gn"), F.col("size").alias("gs"), F.col("sure").alias("gsure"))
+    pairs = one.join(other, [by, "gram"]).where("f <> g and abs(fs - gs) <= 2").select(by, "f", "fn", "g", "gn", "gsure").distinct()
     # Soft token similarity, rare tokens counting more: the given name is the same, so its share is its weight.
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weight = lambda n: F.log(1 + F.lit(float(total)) / n)
-    common = keys.groupBy("given").agg(F.sum("n").alias("given_n"))
-    pairs = pairs.join(common, "given")
+    common = keys.groupBy(by).agg(F.sum("n").alias("common_n"))
+    pairs = pairs.join(common, by)
     slips = F.levenshtein("f", "g")
     swapped = slips - F.when((slips == 2) & (F.length("f") == F.length("g")) & (F.array_join(F.array_sort(F.split("f", "")), "") == F.array_join(F.array_sort(F.split("g", "")), "")), 1).otherwise(0)
-    wg, wf = weight(F.col("given_n")), weight(F.greatest("fn", "gn"))
+    wg, wf = weight(F.col("common_n")), weight(F.greatest("fn", "gn"))
     near = 1 - swapped / F.greatest(F.length("f"), F.length("g"))
     allowed = F.when(F.greatest(F.length("f"), F.length("g")) >= 10, 2).otherwise(1)
-    pairs = pairs.withColumn("sim", (wg + wf * near) / (wg + wf)).where((F.col("sim") >= SAME) & (swapped <= allowed) & (F.least(F.length("f"), F.length("g")) >= 5))
-    best = pairs.groupBy("given", "f").agg(F.max(F.struct("sim", "gsure", "gn", "g")).alias("b"))
-    return best.select("given", F.col("f").alias("family"), F.col("b.g").alias("to"))
+    return pairs.withColumn("sim", (wg + wf * near) / (wg + wf)).where((F.col("sim") >= SAME) & (swapped <= allowed) & (F.least(F.length("f"), F.length("g")) >= 5))
+
+
+def _spellings(keys: DataFrame) -> DataFrame:
+    """keys(given, family, n, sure) -> given, f, g: every verified pair of an unsure spelling and a better-known one."""
+    # Only unsure keys look for another; the other side is any better-known key.
+    pairs = _alike(keys.where("not sure").select("given", "family", "n"), keys, "given")
+    return pairs.where("gsure or gn > fn or (gn = fn and g < f)")
 
 
 def same_names(records: DataFrame, key: str, name: str, email: str, variants: str) -> DataFrame:
@@ -501,23 +511,45 @@ def same_names(records: DataFrame, key: str, name: str, email: str, variants: st
     p = p.join(guessed, "id", "left").withColumn("family", F.coalesce("family", "guess")).withColumn("sure", F.col("sure") | F.col("guess").isNotNull()).where("family is not null").drop("guess", "guesses")
     p = space.write(p, "named")
     full = p.where("given is not null").groupBy("given", "family").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
-    moved = space.write(_spellings(space.write(full, "keys")), "spellings")
-    p = p.join(moved, ["given", "family"], "left").withColumn("family", F.coalesce("to", "family")).drop("to")
-    # A spelling that no other record confirms, without a given name: the family that it nearly is, if it is the only one.
-    p = space.write(p, "respelled")
+    full = space.write(full, "keys")
     org = F.col("kind").startswith("org")
     at = lambda *c: F.concat_ws("|", *c)
-    strong = p.where("given is not null").select("id", at(F.when(org, "o").otherwise("p"), "given", "family").alias("hub"))
-    # The number that a person's addresses carry, whole or its last two digits.
+    # Every verified pair of spellings is a link of two keys; what they connect is one name, however many links away.
+    linked = _spellings(full).select(at("given", "f").alias("a"), at("given", "g").alias("b"))
+    groups = components(space.write(linked, "links"), "a", "b")
+    p = p.withColumn("node", F.when(F.col("given").isNotNull(), at("given", "family"))).join(groups, "node", "left")
+    p = space.write(p.withColumn("one", F.coalesce("component", "node")).drop("node", "component"), "respelled")
+    strong = p.where("given is not null").select("id", at(F.when(org, "o").otherwise("p"), "one").alias("hub"))
+    # Who has only an initial may be any name of that family and initial, or one that shares a spelling with such a name.
+    mine = p.where(~org & F.col("given").isNotNull()).groupBy("family", "initial", "one").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+    mine = space.write(mine, "spelled")
+    several = mine.join(mine.groupBy("one").agg(F.count("*").alias("c")).where("c > 1").select("one"), "one", "left_semi")
+    spelled = several.select("one", F.col("family").alias("other"))
+    over = several.select("family", "initial", "one").join(spelled, "one").where("other <> family").select("family", "initial", "other")
+    over = over.distinct().join(mine.select(F.col("family").alias("other"), "initial", "one"), ["other", "initial"]).select("family", "initial", "one")
+    names = mine.select("family", "initial", at(F.lit("p"), "one").alias("hub")).unionByName(over.select("family", "initial", at(F.lit("p"), "one").alias("hub"))).distinct()
+    weak = p.where(~org & F.col("given").isNull() & F.col("initial").isNotNull())
+    bare = weak.groupBy("family", "initial").agg(F.count("*").alias("n"), F.max("sure").alias("sure")).join(mine, ["family", "initial"], "left_anti")
+    bare = space.write(bare, "bare")
+    own = bare.select("family", "initial", at(F.lit("w"), "family", "initial").alias("hub"))
+    # A spelling that no other record confirms, without a given name: the family that it nearly is, if it is the only one.
+    known = mine.groupBy("family", "initial").agg(F.sum("n").alias("n"), F.max("sure").alias("sure")).unionByName(bare.where("sure"))
+    close = _alike(bare.where("not sure").select("family", "initial", "n"), known, "initial").select("initial", "f", F.col("g").alias("family"))
+    close = close.join(names.unionByName(own), ["family", "initial"]).select(F.col("f").alias("family"), "initial", "hub")
+    may = names.unionByName(close).groupBy("family", "initial").agg(F.min("hub").alias("a"), F.max("hub").alias("b")).where("a = b").select("family", "initial", F.col("a").alias("hub"))
+    may = space.write(may, "fitting")
+    fits = F.col("prefix").isNull() | F.col("hub").startswith("w|") | F.col("hub").startswith(F.concat(F.lit("p|"), F.col("prefix")))
+    joined = weak.join(may, ["family", "initial"]).where(fits).select("id", "hub")
+    alone = weak.join(own, ["family", "initial"]).select("id", "hub")
+    # The number that a person's addresses carry, whole or its last two digits, under every family that the record may have.
     tail = F.lpad(F.substring("num", -2, 2), 2, "0")
-    numbered = p.where(~org & F.col("num").isNotNull()).select("id", at(F.lit("n"), "family", "initial", tail).alias("hub")).where(F.col("hub").isNotNull())
+    last = F.element_at(F.split("one", r"\|"), -1)
+    counted = p.where(~org & F.col("num").isNotNull() & F.col("initial").isNotNull()).select("id", "family", "initial", "given", "one", tail.alias("tail"))
+    called = names.unionByName(may).where("hub like 'p|%'").select("family", "initial", F.element_at(F.split("hub", r"\|"), -1).alias("called")).distinct()
+    numbered = counted.select("id", "initial", "tail", "family").unionByName(counted.where("given is not null").select("id", "initial", "tail", last.alias("family")))
+    numbered = numbered.unionByName(counted.where("given is null").join(called, ["family", "initial"]).select("id", "initial", "tail", F.col("called").alias("family")))
+    numbered = numbered.select("id", at(F.lit("n"), "family", "initial", "tail").alias("hub")).distinct()
     numbered = numbered.join(numbered.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1").select("hub"), "hub", "left_semi")
-    # Who has only an initial joins the one given name of the family that begins with it.
-    one = p.where(~org & F.col("given").isNotNull()).groupBy("family", "initial").agg(F.min("given").alias("a"), F.max("given").alias("b"))
-    weak = p.where(~org & F.col("given").isNull() & F.col("initial").isNotNull()).join(one, ["family", "initial"], "left")
-    fits = F.col("prefix").isNull() | F.col("a").startswith(F.col("prefix"))
-    joined = weak.where((F.col("a") == F.col("b")) & fits).select("id", at(F.lit("p"), F.col("a"), "family").alias("hub"))
-    alone = weak.where("a is null").select("id", at(F.lit("w"), "family", "initial").alias("hub"))
     hubs = space.write(strong.unionByName(numbered).unionByName(joined).unionByName(alone), "hubs")
     # Each record is linked to the smallest of its hub: a star, however many share the hub.
     least = hubs.groupBy("hub").agg(F.min("id").alias("m"), F.count("*").alias("c")).where("c > 1")

@@ -57,6 +57,17 @@ def test_names(spark):
     assert sorted(tuple(r) for r in pairs_of(e, "id", "entity").collect()) == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5), (11, 12)]
 
 
+def test_spellings_are_followed_to_the_end(spark):
+    """A spelling whose better-known one is itself a variant, and one of a record with only an initial."""
+    rows = [(i, "Bernard Hoffmann", "bernard.hoffmann@a.example", None) for i in (1, 2, 3)]
+    rows += [(i, "Bernard Hofmann", None, None) for i in (4, 5)] + [(6, "Bernard Hofman", None, None)]
+    rows += [(7, "Gregory Werzedanas", "gregory.werzedanas@a.example", None), (8, "G. Werzednas", None, None), (9, "H. Werzednas", None, None)]
+    rows += [(100 + i, f"Anton {a}{b}", None, None) for i, (a, b) in enumerate((a, b) for a in ("Kral", "Dron", "Pumi", "Sott") for b in ("bexi", "gudo", "vyck", "jaru"))]
+    df = spark.createDataFrame(rows, "id int, name string, email string, name_variants array<string>")
+    got = {r.id: r.entity for r in same_names(df, "id", "name", "email", "name_variants").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7}
+
+
 def spans_brute(recs, n):
     places = {}
     for i, s in recs.items():
