@@ -135,11 +135,12 @@ def resurrections(changes: DataFrame) -> DataFrame:
     """Lines that one author removed and another added later in the same project, compared exactly and counted by line.
 
     changes has project_id, author_id, commit_ts, raw_diff. Only the earliest removal and the latest addition of a line
-    and author matter, so each line meets itself once per author.
+    and author matter, and of the authors who removed it the first two, as whoever adds it can be only one of them.
     """
     x = changes.where("project_id is not null and author_id is not null and commit_ts is not null and raw_diff is not null")
     one = lambda sign, pick, name: x.select("project_id", "author_id", "commit_ts", F.explode(F.array_distinct(F.filter(T.diff_lines(F.col("raw_diff"), sign), lambda l: F.length(l) >= 20))).alias("line")).groupBy("project_id", "line", "author_id").agg(pick("commit_ts").alias(name))  # noqa: E731, E741
-    gone = one("-", F.min, "gone").groupBy("project_id", "line").agg(F.min(F.struct("gone", "author_id")).alias("g"))
+    first = Window.partitionBy("project_id", "line").orderBy("gone", "author_id")
+    gone = one("-", F.min, "gone").withColumn("rank", F.row_number().over(first)).where("rank <= 2")
     back = one("+", F.max, "back").withColumnRenamed("author_id", "by")
-    j = gone.join(back, ["project_id", "line"]).where("by <> g.author_id and back > g.gone")
+    j = gone.join(back, ["project_id", "line"]).where("by <> author_id and back > gone")
     return j.groupBy("project_id").agg(F.count_distinct("line").cast("int").alias("n_resurrected"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
-from ledgerline.operators import contribution, similarity, timeline, tokens
+from ledgerline.operators import contribution, scoring, similarity, timeline, tokens
 from ledgerline.operators.graph import connected
 from ledgerline.sources import ingest
 
@@ -32,6 +32,17 @@ def test_timing_is_strict(spark):
     assert {r.hash: r.timing for r in timeline.flags(df).collect()} == {"a": "after_deadline", "b": "before_deadline_close", "c": "normal"}
 
 
+def test_line_removed_by_two_authors(spark):
+    """Who adds a line again was also the first to remove it; another author removed it in between."""
+    a, b, c = (f"{x} = compute_the_total(items)" for x in "abc")
+    day = lambda n: datetime(2024, 1, n)
+    rows = [(1, 1, day(1), "-" + a), (1, 2, day(2), "-" + a), (1, 1, day(3), "+" + a), (1, 2, day(4), "+" + a)]
+    rows += [(2, 1, day(1), "-" + a), (2, 2, day(2), "-" + a), (2, 1, day(3), "+" + a)]
+    rows += [(3, 1, day(1), "-" + b), (3, 1, day(3), "+" + b), (3, 1, day(1), "-" + c), (3, 2, day(3), "-" + c), (3, 1, day(2), "+" + c)]
+    df = spark.createDataFrame(rows, "project_id int, author_id int, commit_ts timestamp_ntz, raw_diff string")
+    assert {r.project_id: r.n_resurrected for r in scoring.resurrections(df).collect()} == {1: 1, 2: 1}
+
+
 def test_connected(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7)], "a int, b int")
     assert {r.node: r.component for r in connected(e, "a", "b").collect()} == {5: 3, 4: 3, 3: 3, 9: 8, 8: 8}
