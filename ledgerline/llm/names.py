@@ -106,8 +106,9 @@ BOT = re.compile(r"(?i)\[bot\]|(?:^|[\W_])bots?(?:$|[\W_])|noreply@|automation|a
 
 SHORT = {s: full.strip() for full, _, shorts in (line.partition(":") for line in GIVEN_NAMES.strip().split("\n")) for s in shorts.split()}
 FULL = {line.partition(":")[0].strip() for line in GIVEN_NAMES.strip().split("\n")}
-#: A token with at least so many different companions in names counts as a given name; at most so many are kept.
-GIVEN_COMPANIONS, MOST_GIVEN = 8, 20_000
+#: A token with at least so many different companions in names counts as a given name if more than this share of what
+#: is known of its place in them says so; at most so many are kept.
+GIVEN_COMPANIONS, GIVEN_SHARE, MOST_GIVEN = 8, 0.5, 20_000
 #: A nickname is learnt from at least so many records that agree to this share.
 NICK_RECORDS, NICK_SHARE = 4, 0.8
 _LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "đ": "d", "Đ": "D", "ð": "d", "þ": "th", "ı": "i"})
@@ -385,21 +386,31 @@ def read_record(name: str | None, email: str | None, variants: list[str] | None,
 
 
 def _learn(rows: DataFrame, space: Workspace) -> Lexicon:
-    """Given names by their many companions, short forms by the full name that stands with them in a record."""
+    """Given names by their many companions and their place, short forms by the full name that stands with them.
+
+    A family name that many bear has many companions too. It differs by the place, whatever the number of records: a
+    given name stands first or after the comma, and an address that cuts one name to its initial cuts the given name.
+    """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = set()
-            for name, variants in zip(f["name"], f["variants"]):
+            for name, email, variants in zip(f["name"], f["email"], f["variants"]):
+                local = re.sub(r"[^a-z]", "", re.sub(r"^\d+\+", "", fold((email or "").split("@")[0]).lower()).split("+")[0])
                 for form in [name, *(variants if variants is not None else [])]:
                     tokens, short, _ = split_name(form or "")
                     tokens = [t for t in tokens if len(t) > 2 and t not in short and t not in ORG_KINDS and t not in NOBODY]
                     if len(tokens) == 2 and not any(t in ORG_KINDS for t in split_name(form or "")[0]):
-                        out |= {(tokens[0], tokens[1]), (tokens[1], tokens[0])}
-            yield pd.DataFrame(sorted(out), columns=["t", "with"])
-
-    seen = rows.select("name", "variants").mapInPandas(pairs, "t string, with string").distinct()
-    top = seen.groupBy("t").agg(F.count("*").alias("n")).where(f"n >= {GIVEN_COMPANIONS}").orderBy(F.desc("n"), "t").limit(MOST_GIVEN)
+                        a, b = tokens
+                        out |= {(a, b, "place", True), (b, a, "place", False)}
+                        for given, family in ((a, b), (b, a)):
+                            if local in (given[0] + family, family + given[0]):
+                                out |= {(given, family, "mail", True), (family, given, "mail", False)}
+            yield pd.DataFrame(sorted(out), columns=["t", "with", "by", "given"])
+
+    seen = rows.select("name", "email", "variants").mapInPandas(pairs, "t string, with string, by string, given boolean").distinct()
+    top = seen.groupBy("t").agg(F.count_distinct("with").alias("n"), F.avg(F.col("given").cast("int")).alias("share"))
+    top = top.where((F.col("n") >= GIVEN_COMPANIONS) & (F.col("share") > GIVEN_SHARE)).orderBy(F.desc("n"), "t").limit(MOST_GIVEN)
     given = {r["t"] for r in top.collect()}
     base = Lexicon(given, {})
     wide = given | FULL

@@ -68,6 +68,17 @@ def test_spellings_are_followed_to_the_end(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7}
 
 
+def test_common_family_name_is_no_given_name(spark):
+    """A family name with as many companions as a given name, now and then written first without a comma."""
+    first = "ana rosa luis pablo carmen diego ines marta jorge raul".split()
+    last = "garcia lopezal morando sarvent quirozal vintero balmor cendral dorvane".split()
+    rows = [(1, "Ana Garcia", "ana.garcia@a.example", None), (2, "Garcia Ana", "ana.garcia@b.example", None), (3, "Garcia Luis", None, None)]
+    rows += [(100 + 10 * i + j, f"{g} {f}".title(), None, None) for i, g in enumerate(first) for j, f in enumerate(last) if (g, f) != ("ana", "garcia")]
+    df = spark.createDataFrame(rows, "id int, name string, email string, name_variants array<string>")
+    got = {r.id: r.entity for r in same_names(df, "id", "name", "email", "name_variants").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 120: 3}
+
+
 def spans_brute(recs, n):
     places = {}
     for i, s in recs.items():
