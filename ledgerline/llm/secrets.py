@@ -1,199 +1,86 @@
 """Credentials in source code: found by an indexed set of detection patterns and blanked out in place.
 
-Every pattern implies a boolean query over trigrams. A chunk is one line; the postings of a batch of texts are
-intersected, and the patterns run only on the lines that remain. A private key is found at its BEGIN marker.
+Every pattern implies a boolean query over trigrams. A chunk is one line, read together with the line below where a name
+ends it without its value; the postings of a batch of texts are intersected, and the patterns run only on the lines that
+remain. A private key is found at its BEGIN marker, if key material follows it or the text ends there.
 """
 
 from __future__ import annotations
 
-import base64
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .credential_rules import NEXT_QUOTED, NEXT_VALUE, OPEN_COMPILED, OPEN_NAME, RULES, Rule, judge, spans_of
 from .trigrams import TrigramIndex, blocks, text_bytes, trigram_query
 
 BLOCK_BYTES = 4_000_000
 MASK = "***REDACTED***"
-
-
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    pattern: str
-    kind: str  # how the value is judged: key, prefixed, token, password, either, bare, basic
-
-
-# Names under which credentials are stored, as the end of an identifier.
-_NAME = r"(?:passwords?|passwd|passphrase|passwort|kennwort|contrase(?:ñ|n)a|pwd|pass|secret|secret[_-]?key|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?)"
-_STR = r"""(?:[brfu]{0,2}["'`])"""
-RULES = [
-    Rule("private_key", r"(-----BEGIN (?:[A-Z0-9]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----)", "key"),
-    Rule("aws_id", r"(?<![A-Z0-9])((?-i:AKIA|ASIA)(?-i:[A-Z0-9]{16}))(?![A-Za-z0-9])", "prefixed"),
-    Rule("forge_token", r"(?<![A-Za-z0-9])((?:gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,}))", "prefixed"),
-    Rule("chat_token", r"(?<![A-Za-z0-9])(xox[abeprs]-[A-Za-z0-9-]{10,})", "prefixed"),
-    Rule("service_key", r"(?<![A-Za-z0-9_-])((?:sk|rk)[-_](?:live[-_]|proj[-_]|test[-_]|ant[-_])?[A-Za-z0-9_-]{20,})", "prefixed"),
-    Rule("cloud_key", r"(?<![A-Za-z0-9_-])((?-i:AIza)[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", "prefixed"),
-    Rule("other_prefix", r"(?<![A-Za-z0-9])((?:npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{50,}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|shpat_[a-f0-9]{32}|ya29\.[A-Za-z0-9_-]{20,}))", "prefixed"),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])((?-i:eyJ)[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "prefixed"),
-    Rule("url_userinfo", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"'`<>{}$]{0,60}:((?!\$)[^\s/@\"'`<>{}]{3,100})@[a-z0-9\[]", "password"),
-    Rule("dsn", r"(?<![\w/:])[\w.-]{1,40}:((?!\$)[^\s:/@\"'`{}<>]{4,80})@(?:tcp|unix)\(", "password"),
-    Rule("connection_string", r"(?:;|\"|'|\b)\s{0,3}(?:pwd|password)\s{0,3}=\s{0,3}((?!\$)[^;\s\"'`{}()<>]{4,80})\s{0,3}[;\"']", "password"),
-    Rule("basic", r"\bBasic\s{1,3}([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", "basic"),
-    Rule("bearer", r"\bBearer\s{1,3}([A-Za-z0-9_.~+/=-]{16,})", "token"),
-    Rule("named_string", _NAME + r"""[\w.\]-]{0,20}?["'`]?\]?\s{0,20}(?::=|=>|=|:|,)\s{0,20}""" + _STR + r"""([^"'`\r\n]{3,400})["'`]""", "either"),
-    Rule("named_bare", _NAME + r"[\w-]{0,20}?\s{0,3}[=:]\s{0,8}((?!\$)[^\s\"'`;,(){}<>\[\]]{6,400})\s{0,3}(?:$|\r|(?<=\s)#|;|,)", "bare"),
-    Rule("env_key", r"(?<![a-z])(?:[a-z0-9]{1,30}_){1,4}key[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?([^\s\"'`;,(){}<>\[\]$]{16,400})", "token"),
-    Rule("xml_value", _NAME + r"""["']\s{1,3}value\s{0,2}=\s{0,2}["']([^"'<>]{3,400})["']""", "either"),
-    Rule("xml_text", r"<(?:[\w.-]{0,40})" + _NAME + r"(?:\s[^<>]{0,80})?>([^<>\s]{4,400})</", "either"),
-    Rule("query_parameter", r"[?&](?:access_token|api_?key|apikey|auth|token|secret|password|sig|key)=([^\s&\"'`<>{}$#)]{8,400})", "either"),
-    Rule("sql_password", r"(?:password|identified\s{1,3}by|pwd)\s{1,3}'([^'\r\n]{4,100})'", "password"),
-    Rule("login_call", r"""(?:login|basic_?auth|authenticate|connect|logon|sign_?in|credentials?)\w{0,12}\(\s{0,3}["'][^"'\r\n]{1,60}["']\s{0,2},\s{0,2}["']([^"'\r\n]{4,100})["']\s{0,2}\)""", "password"),
-    Rule("token_call", r"""(?:token|secret|api_?key|password)\w{0,12}\(\s{0,3}["']([^"'\r\n]{8,400})["']\s{0,2}\)""", "token"),
-    Rule("token_header", r"""["']?x-(?:auth|api|access)(?:-?(?:token|key))?["']?\s{0,3}(?::|,|=)\s{0,3}["']([^"'\r\n]{12,400})["']""", "token"),
-    Rule("remark", r"""["'`]([A-Za-z0-9+/=_.-]{16,400})["'`][^"'`\r\n]{0,12}(?:\#|//|--|/\*)[^\r\n]{0,40}\b(?:token|secret|password|(?:api|access|socket|private)\s?key|\w{1,20} key)\b""", "token"),
-    Rule("prose_login", r"(?:login|account|zugang|acceso|user|credentials?)\b[^\r\n]{0,30}?\b(?:is|are|ist|es|lautet|:)\s{1,3}\S{1,40}\s{1,2}/\s{1,2}(\S{4,100})", "password"),
-    Rule("prose_password", r"(?:password|passwort|kennwort|contraseña|passphrase|pwd)\b[^\r\n:=\"'`]{0,40}?(?::|\bis\b|\bist\b|\bes\b|\blautet\b)\s{1,3}[\"'`]?([^\s\"'`]{4,100})", "password"),
-    Rule("prose_token", r"""[`"']([A-Za-z0-9+/=_.-]{16,400})[`"'][^\r\n`"']{0,30}\b(?:api key|token|secret|access key|password)\b""", "token"),
-    Rule("prose_token_after", r"""\b(?:api key|token|secret|access key)\b\s(?:is|ist|es|:|=)?\s?[`"']([A-Za-z0-9+/=_.-]{16,400})[`"']""", "token"),
-    Rule("command_user", r"(?: -u|--user|--userpwd)[\s=]{1,2}[\"']?[\w.@-]{1,40}:((?!\$)[^\s\"'`{}<>]{4,100})", "password"),
-    Rule("command_password", r"(?:--password|--passwd|--token|--secret|--api-?key|sshpass -p|\smysql\b[^\r\n]{0,80}\s-p)[\s=]{0,2}[\"']?([^\s\"'`{}$<>]{4,200})", "either"),
-]
-
-# Words that stand for a value, and passwords that come with a product.
-STAND_IN = re.compile(
-    r"(?i)(?:your|my|insert|replace|enter|change|put|add|some|the)[ _.-]?(?:own[ _-]?)?(?:\w{0,20}[ _.-])?(?:token|key|secret|password|passwd|pass|value|here|me|this|it)|example|placeholder|dummy|sample|redacted|masked|hidden|removed|todo|fixme|tbd|lorem|foobar|not[_-]?real|fake|vault|secrets?\.|getenv|environ|process\.env|^env[.:]|config\.|settings\.|^\*+|^x{4,}|x{8,}|\*{3,}|\.{3,}|•|^-+$|^_+$|^0+$|^1234|^abcd|^test$|^none$|^null$|^nil$|^true$|^false$|^undefined$"
-)
-STOCK = set("changeme change_me changeit password passw0rd p@ssw0rd password1 password123 passwort admin admin123 administrator root toor guest user username test test123 testing secret default postgres mysql oracle sa master letmein welcome welcome1 qwerty qwerty123 123456 12345678 123456789 1234 12345 111111 abc123 iloveyou monkey dragon minioadmin rabbitmq redis mongo elastic pass pass123 pwd token apikey none null empty string optional required hunter2 tomcat s3cret manager raspberry ubnt alpine vagrant docker".split())
-UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
-REFERENCE = re.compile(r"^(?:\$|%[A-Z_]+%|\{|<|@|&|!)|\$\{|\{\{|<[A-Za-z_ -]+>|\$\(|%\(|%s|%d|\{\w*\}|^[A-Za-z_]+(?:\.[A-Za-z_]+|\[\w+\]|\(\))+$|^/[\w/.-]+$|^\w+\(")
-NOT_SECRET_NAME = re.compile(r"(?i)(?:sha\d*|hash|digest|checksum|integrity|fingerprint|commit|revision|rev|uuid|public[_-]?key|primary[_-]?key|foreign[_-]?key|cache[_-]?key|sort[_-]?key|key[_-]?id|pubkey|host[_-]?key)\W{0,4}$")
-DATA_URI = re.compile(r"data:[\w/+.-]+;base64,[^\"'`)\s]*$|(?:sha(?:1|256|384|512)[-:]|ssh-(?:rsa|ed25519|dss) )[A-Za-z0-9+/=]*$")
-
-
-def entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
-
-
-def _stand_in(v: str) -> bool:
-    return v.lower() in STOCK or bool(STAND_IN.search(v) or REFERENCE.search(v)) or len(set(v)) < 4
-
-
-def is_token(v: str) -> bool:
-    """A random string of some length."""
-    if len(v) < 16 or re.search(r"\s", v) or _stand_in(v) or UUID.match(v):
-        return False
-    core = re.sub(r"[^A-Za-z0-9]", "", v)
-    if len(core) < 14 or len(core) < 0.75 * len(v):
-        return False
-    digits = sum(c.isdigit() for c in core)
-    if digits == len(core) or "://" in v or entropy(v) < (2.6 if len(v) < 24 else 3.0):
-        return False
-    if digits:
-        return True
-    # No digit at all: a word or path has few changes of case, random letters have many.
-    flips = sum(a.isupper() != b.isupper() for a, b in zip(core, core[1:]))
-    return flips >= 0.3 * len(core) and entropy(v) > 3.5
-
-
-def is_password(v: str, named: bool = False) -> bool:
-    """A literal that a person would type as a password, rather than a word, a label or a reference."""
-    if not 5 <= len(v) <= 100 or re.search(r"\s", v) or _stand_in(v) or UUID.match(v):
-        return False
-    if re.fullmatch(r"[\d.,:+-]+|#[0-9a-fA-F]{3,8}|[\w.+-]+@[\w.-]+|https?://\S+|[\w./-]+\.\w{1,4}|[A-Z][A-Z0-9_]*_[A-Z0-9_]*", v):
-        return False
-    if re.fullmatch(r"[a-z]+(?:[ ._/-][a-z]+)*|[A-Z][a-z]+(?:[A-Z][a-z]+)*[.,;:!?]?|[a-z]+(?:[A-Z][a-z]+)+|[A-Z]+|[a-z]+[.,;:!?)]+", v):
-        return False
-    if re.fullmatch(r"[A-Za-z]+(?:-[A-Za-z]+)+", v) or not re.search(r"\d", v) and len(v) < 8:
-        return False
-    kinds = sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
-    return kinds >= 2
-
-
-def judge(rule: Rule, value: str, before: str) -> bool:
-    if rule.kind == "key":
-        return True
-    if rule.kind == "prefixed":
-        # Hyphenated words in small letters may begin like a service key.
-        random = rule.name != "service_key" or bool(re.search(r"\d", value) or re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
-        return random and not _stand_in(value) and len(set(value)) > 7
-    if rule.kind == "basic":
-        try:
-            raw = base64.b64decode(value + "=" * (-len(value) % 4)).decode("utf-8")
-        except ValueError:
-            return False
-        user, colon, secret = raw.partition(":")
-        return bool(colon and user and raw.isprintable()) and not _stand_in(secret) and len(secret) >= 4
-    if DATA_URI.search(before):
-        return False
-    named = rule.name in ("named_string", "named_bare", "env_key")
-    if named and NOT_SECRET_NAME.search(before):
-        return False
-    if rule.kind == "token":
-        return is_token(value)
-    if rule.kind == "bare":
-        return is_token(value) or is_password(value) and bool(re.search(r"\d", value))
-    return is_token(value) or is_password(value) if rule.kind == "either" else is_password(value)
-
-
-_COMPILED = [re.compile(r.pattern, re.IGNORECASE) for r in RULES]
-_JOINED = re.compile(r"""(["'])\s{0,4}(?:\+|\.\.|\.)\s{0,4}\1""")
-
-
-def spans_of(line: str, rules: list[int]) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of the values on a line that the given rules find; overlapping ones are joined."""
-    found: list[tuple[int, int, str]] = []
-    texts = [(line, None)]
-    if _JOINED.search(line):  # a literal put together from pieces is one value
-        keep, at = [], 0
-        for m in _JOINED.finditer(line):
-            keep += range(at, m.start())
-            at = m.end()
-        keep += range(at, len(line))
-        texts.append(("".join(line[i] for i in keep), keep))
-    for text, places in texts:
-        for k in rules:
-            rule, p = RULES[k], 0
-            while (m := _COMPILED[k].search(text, p)) is not None:
-                s, e = m.span(1)
-                p = max(m.start() + 1, s + 1) if rule.name in ("named_string", "named_bare") else max(m.end(), m.start() + 1)
-                value = m.group(1)
-                if rule.kind in ("bare", "password", "either") and rule.name != "sql_password":
-                    trimmed = value.rstrip(",;.)") if rule.name.startswith("prose") or rule.name == "named_bare" else value
-                    e -= len(value) - len(trimmed)
-                    value = trimmed
-                if value and judge(rule, value, text[max(0, m.start()) : s] if rule.kind != "key" else ""):
-                    lo, hi = (s, e) if places is None else (places[s], places[e - 1] + 1)
-                    if not DATA_URI.search(line[max(0, lo - 4000) : lo]):
-                        found.append((lo, hi, rule.name))
-                        p = max(p, e)
-    out: list[tuple[int, int, str]] = []
-    for s, e, r in sorted(found):
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2])
-        else:
-            out.append((s, e, r))
-    return out
-
-
+_OPEN, _JOIN = len(RULES), len(RULES) + 1
 _INDEX: list[TrigramIndex] = []
 
 
 def _index() -> TrigramIndex:
     if not _INDEX:
-        _INDEX.append(TrigramIndex([trigram_query(r.pattern) for r in RULES]))
+        joins = ("or", *(("gram", g) for g in ('" +', "' +", '"+"', "'+'", '"."', "'.'", '" .', "' .", '"..', "'..")))
+        _INDEX.append(TrigramIndex([*(trigram_query(r.pattern) for r in RULES), trigram_query(OPEN_NAME.pattern), joins]))
     return _INDEX[0]
 
 
-def _hits(texts: pa.Array) -> Iterator[tuple[int, int, int, str, str]]:
-    """(row, line number from 1, start of the line in the text's bytes, line, spans) where a credential stands."""
+# --- private keys ----------------------------------------------------------------------------------------------
+
+_END = re.compile(r"-----END (?:[A-Z0-9]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----", re.IGNORECASE)
+_KEY_HEADER = re.compile(r"^[\s+\-#/*>|\"'`]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Key-Type)\s*:", re.IGNORECASE)
+_KEY_LINE = re.compile(r"^(?P<head>(?:[\s+\-#*>|\"'`]|//(?=[\s+\"'`]))*)(?P<body>[A-Za-z0-9+/=]+)(?P<tail>(?:\\[rn])*[\"'`,;+\\.\s]*)$")
+
+
+def key_body(line: str, last: bool) -> re.Match | None:
+    """The key material that fills a line but for the marks of a diff, a remark or a literal; ``last``: the END marker follows."""
+    m = _KEY_LINE.match(line)
+    if m is None or MASK in line:
+        return None
+    body = m.group("body")
+    mixed = re.search(r"\d", body) and re.search(r"[A-Za-z]", body)
+    return m if last or len(body) >= 40 or len(body) >= 16 and mixed else None
+
+
+def key_rest(rest: str) -> tuple[int, int] | None:
+    """Where key material stands behind a BEGIN marker on its own line, up to the END marker or the end of the literal."""
+    end = _END.search(rest)
+    within = rest[: end.start()] if end else rest
+    m = re.match(r"^((?:\\[rn]|\s|[\"'`+])*)(.*?)((?:\\[rn]|[\s\"'`,;+)\\])*)$", within, re.DOTALL)
+    body = m.group(2)
+    bare = re.sub(r"\\[rn]|[\s\"'`+]", "", body)
+    if MASK in body or len(bare) < 16 or len(re.findall(r"[A-Za-z0-9+/=]", bare)) < 0.97 * len(bare) or " " in body.strip() and not end:
+        return None
+    return m.span(2)
+
+
+def _is_live_key(line: str, at: int, below: list[str]) -> bool:
+    """Whether a BEGIN marker that ends at ``at`` opens a key: material follows, or the text breaks off there."""
+    rest = line[at:]
+    if MASK in rest or _END.search(rest):
+        return key_rest(rest) is not None
+    if key_rest(rest):
+        return True
+    if not below or below[0].startswith("@@"):
+        return True
+    for n, x in enumerate(below):
+        if _KEY_HEADER.match(x) or not x.strip(" +-\r\t#*/|\"'"):
+            continue
+        return key_body(x, n + 1 < len(below) and bool(_END.search(below[n + 1]))) is not None
+    return False
+
+
+# --- search ----------------------------------------------------------------------------------------------------
+
+
+def _hits(texts: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """(row, line number from 1, spans of (start, end, rule) on the line) where a credential stands."""
     data_all, offsets_all = text_bytes(texts)
     for lo, hi in blocks(len(texts), offsets_all, BLOCK_BYTES):
         data = data_all[offsets_all[lo] : offsets_all[hi]]
@@ -208,28 +95,57 @@ def _hits(texts: pa.Array) -> Iterator[tuple[int, int, int, str, str]]:
             for n in found.tolist():
                 wanted.setdefault(n, []).append(k)
         raw = data.tobytes()
-        for n in sorted(wanted):
-            s = int(lines[n])
-            e = int(lines[n + 1]) if n + 1 < len(lines) else len(raw)
-            line = raw[s:e].rstrip(b"\n").decode("utf-8", "replace")
-            spans = spans_of(line, wanted[n])
+
+        def line_at(n: int) -> str:
+            s, e = int(lines[n]), int(lines[n + 1]) if n + 1 < len(lines) else len(raw)
+            return raw[s:e].rstrip(b"\n").decode("utf-8", "replace")
+
+        found_at: dict[int, list] = {}
+        for n, rules in wanted.items():
+            line = line_at(n)
+            row_end = int(starts[np.searchsorted(starts, lines[n], "right")]) if rules[0] == 0 or _OPEN in rules else 0
+            spans = spans_of(line, [k for k in rules if k < _OPEN], _JOIN in rules)
+            if rules[0] == 0:  # only the rule of private keys needs the lines below
+                below = [line_at(j) for j in range(n + 1, min(n + 6, len(lines))) if lines[j] < row_end]
+                spans = [x for x in spans if x[2] != "private_key" or _is_live_key(line, x[1], below)]
             if spans:
-                row = int(np.searchsorted(starts, s, "right")) - 1
-                number = n - int(np.searchsorted(lines, starts[row], "left")) + 1
-                yield lo + row, number, s - int(starts[row]), line, spans
+                found_at.setdefault(n, []).extend(spans)
+            if _OPEN in rules and n + 1 < len(lines) and lines[n + 1] < row_end and (m := OPEN_COMPILED.search(line.rstrip("\r"))) is not None:
+                below = line_at(n + 1)
+                if (v := NEXT_VALUE.match(below.rstrip("\r"))) is not None:
+                    opened = re.search(r"[=:(,|]\s*\\?$", line.rstrip("\r")) or NEXT_QUOTED.match(below)
+                    rule = OPEN_NAME if v.group(1) is None else Rule("named_bare", "", "bare")
+                    value = v.group(v.lastindex)
+                    if opened and judge(Rule(rule.name, "", "either" if v.group(1) is not None else "bare"), value, m.group()):
+                        found_at.setdefault(n + 1, []).append((*v.span(v.lastindex), "open_name"))
+        for n in sorted(found_at):
+            s = int(lines[n])
+            row = int(np.searchsorted(starts, s, "right")) - 1
+            number = n - int(np.searchsorted(lines, starts[row], "left")) + 1
+            yield lo + row, number, _disjoint(found_at[n])
+
+
+def _disjoint(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    out: list[tuple[int, int, str]] = []
+    for s, e, r in sorted(set(spans)):
+        if out and s < out[-1][1] and "private_key" not in (r, out[-1][2]):
+            out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2])
+        else:
+            out.append((s, e, r))
+    return out
 
 
 def find_secrets(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per credential: key, line_no (from 1, lines end at LF), first and last character on the line, rule.
 
     Null and empty texts have none; repeated rows are searched once per row; the text is searched whole whatever its
-    length. Further columns are ignored.
+    length. A BEGIN marker that no key material follows is no credential. Further columns are ignored.
     """
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(r, n, s, e, rule) for r, n, _, _, spans in _hits(batch.column(1)) for s, e, rule in spans]
+            out = [(r, n, s, e, rule) for r, n, spans in _hits(batch.column(1)) for s, e, rule in spans]
             if out:
                 rows, no, s, e, rule = zip(*out)
                 ids = batch.column(0).take(pa.array(rows, pa.int64()))
@@ -239,11 +155,62 @@ def find_secrets(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumnRenamed("k", key)
 
 
+# --- redaction -------------------------------------------------------------------------------------------------
+
+
+def blank_out(text: str, hits: list[tuple[int, list]]) -> tuple[str, int]:
+    """The text with the values at ``hits`` (line number, spans) masked, and how many were.
+
+    The lines are read once from top to bottom. A BEGIN marker opens a key: what follows on its line is masked, then the
+    lines below, up to the END marker or the first line that isn't key material. The markers themselves stay.
+    """
+    by_line = dict(hits)
+    lines = text.split("\n")
+    count, in_key, opened = 0, False, False  # opened: a key of which nothing was masked yet
+    for at, line in enumerate(lines):
+        if in_key:
+            last = at + 1 < len(lines) and bool(_END.search(lines[at + 1]))
+            if (m := key_body(line, last)) is not None:
+                lines[at] = line[: m.start("body")] + MASK + line[m.end("body") :]
+                count, opened = count + opened, False
+                continue
+            if (h := _KEY_HEADER.match(line)) is not None:
+                if "dek-info" in h.group().lower():
+                    lines[at] = line[: h.end()] + " " + MASK + ("\r" if line.endswith("\r") else "")
+                continue
+            if not line.strip(" +-\r\t#*/|\"'"):
+                continue
+            if (end := _END.search(line)) is not None and re.fullmatch(r"[\s+\-#/*>|\"'`]*[A-Za-z0-9+/=]{4,}(?:\\[rn])*", line[: end.start()]):
+                m = re.search(r"[A-Za-z0-9+/=]{4,}", line)
+                line = lines[at] = line[: m.start()] + MASK + line[m.end() :]
+                count, opened = count + opened, False
+            in_key = False
+        cuts: list[tuple[int, int]] = []
+        for s, e, rule in by_line.get(at + 1, ()):
+            if rule == "private_key":
+                body = key_rest(line[e:])
+                if body:
+                    cuts.append((e + body[0], e + body[1]))
+                in_key, opened = _END.search(line[e:]) is None, body is None
+            else:
+                cuts.append((s, e))
+        taken: list[tuple[int, int]] = []
+        for s, e in sorted(cuts):
+            if taken and s < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
+        count += len(taken)
+        for s, e in reversed(taken):
+            lines[at] = lines[at][:s] + MASK + lines[at][e:]
+    return "\n".join(lines), count
+
+
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, the text with every credential's value replaced by a mask, and the number of values replaced.
 
-    All other characters stay as they are. Of a private key the lines of its body are blanked up to the END marker.
-    Null texts stay null.
+    All other characters stay as they are. Of a private key its material is blanked, on the line of the BEGIN marker and
+    below, up to the END marker or the first line that is none; the markers stay. Null texts stay null.
     """
     kind = dict(df.dtypes)[key]
 
@@ -252,28 +219,10 @@ def redact(df: DataFrame, key: str, text: str) -> DataFrame:
             texts = batch.column(1).to_pylist()
             counts = [0] * len(texts)
             by_row: dict[int, list] = {}
-            for row, n, _, _, spans in _hits(batch.column(1)):
+            for row, n, spans in _hits(batch.column(1)):
                 by_row.setdefault(row, []).append((n, spans))
             for row, hits in by_row.items():
-                lines = texts[row].split("\n")
-                for n, spans in hits:
-                    counts[row] += len(spans)
-                    at = n - 1
-                    if spans[0][2] == "private_key":
-                        if "PRIVATE KEY" in lines[at][spans[0][1] :]:
-                            head = lines[at][: spans[0][1]]
-                            lines[at] = head + MASK + lines[at][lines[at].index("-----END", spans[0][1]) :] if "-----END" in lines[at][spans[0][1] :] else lines[at]
-                            continue
-                        for j in range(at + 1, len(lines)):
-                            if "-----END" in lines[j]:
-                                break
-                            body = re.search(r"[A-Za-z0-9+/=]{8,}\s*$|Proc-Type.*$|DEK-Info.*$", lines[j])
-                            if body:
-                                lines[j] = lines[j][: body.start()] + MASK + ("\r" if lines[j].endswith("\r") else "")
-                        continue
-                    for s, e, _ in reversed(spans):
-                        lines[at] = lines[at][:s] + MASK + lines[at][e:]
-                texts[row] = "\n".join(lines)
+                texts[row], counts[row] = blank_out(texts[row], hits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["k", "t", "n"])
 
     out = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"k {kind}, t string, n int")
