@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .hierarchy import hierarchy
+from .hierarchy import roots
 
 
 def canonical_map(authors: DataFrame) -> DataFrame:
     """author_id, root_id; an author whose chain never ends stands for itself."""
-    h = hierarchy(authors, "id", "canonical_author_id")
-    return h.select(F.col("id").alias("author_id"), F.when(F.col("depth") < 0, F.col("id")).otherwise(F.col("root_id")).alias("root_id"))
+    r = roots(authors, "id", "canonical_author_id")
+    return r.select(F.col("id").alias("author_id"), F.when(F.col("root_id") < 0, F.col("id")).otherwise(F.col("root_id")).alias("root_id"))
 
 
 def folded(commits: DataFrame, canon: DataFrame) -> DataFrame:

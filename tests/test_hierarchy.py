@@ -41,6 +41,23 @@ def test_long_chain_over_many_levels(spark):
     assert run(spark, links, local_rows=20, partitions=4) == brute(links)
 
 
+def test_hot_parent_keeps_its_children_apart(spark):
+    links = {1: None} | {i: 1 for i in range(2, 120)} | {200 + i: i for i in range(2, 120)} | {500: 320, 501: 500}
+    links[320] = 119
+    assert run(spark, links, local_rows=30, partitions=4, hot_children=20) == brute(links)
+
+
+def test_table_is_never_solved_by_one_task(spark):
+    links = {i: i // 2 or None for i in range(1, 40)}
+    df = spark.createDataFrame(list(links.items()), "id int, up int")
+    tree = hierarchy(df, "id", "up", partitions=5)
+    assert {r.id: r.id_path for r in tree.collect()} == {i: v[2] for i, v in brute(links).items()}
+    from ledgerline.runtime import home
+
+    fragments = spark.read.parquet(f"{home(spark)}/hierarchy-*/fragments0-*")
+    assert fragments.where("exit is not null").count() > 0
+
+
 def test_odd_cases(spark):
     assert run(spark, {}) == {}
     assert run(spark, {1: 1, 2: 1, 3: 99, 4: None}) == {1: (-1, -1, "", -1), 2: (-1, -1, "", -1), 3: (3, 0, "3", 0), 4: (4, 0, "4", 0)}
