@@ -3,8 +3,7 @@
 The thresholds are those published for web-text filtering: 50 to 100,000 words, a mean word length of 3 to 10, at most
 one symbol per ten words, at most 90 % bullet lines and 30 % lines ending in an ellipsis, 80 % of words with a letter,
 and two stop words (Gopher); lines that end in punctuation (C4). They judge fitness for training. Whether a document
-is mainly running prose is a question of its own: ``prose_share`` measures it as the share of non-blank characters that
-stand in sentences, by the same statistics taken per sentence or line.
+is mainly running prose is a question of its own, answered by ``prose`` with statistics and thresholds per segment.
 """
 
 from __future__ import annotations
@@ -27,68 +26,14 @@ ha si aunque nadie está ser así les et est une dans pour pas qui ce sur il au
 vous di che è per con del della non sono ma come più anche e o os da uma um não mas foi ao dos das
 """.split()
 
-_WORD = r"\p{L}+(?:['’]\p{L}+)?"
 _SYMBOL = r"[{}\[\]()=<>_/\\|@#$%^&*+~`\"]"
 _BULLET = r"^\s*(?:[-*•+·‣▪◦–—]|\(?\d{1,3}[.)]|\[[ xX]\]|\(?[a-zA-Z][.)])\s+"
-_PREFIX = r"^\s*(?:>+|//+|#+|\*|--|;|%)\s*"
-_ENDED = r"[\p{L}\d][\"'’”»)\]]*[.!?;…]+[\"'’”»)]*(?=\s|$)"
 
 
 def _size(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\s", ""))
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _sentence(c: Column) -> Column:
-    """Whether a piece of text reads as a sentence: words rather than symbols, some of them function words."""
-
-    def judged(bare: Column) -> Column:
-        size = _size(bare)
-        plain = (F.regexp_count(bare, F.lit(_SYMBOL)) <= 0.06 * size) & (F.length(F.regexp_replace(bare, r"[^\p{L}]", "")) >= 0.75 * size)
-        words = F.regexp_extract_all(F.lower(bare), F.lit(f"({_WORD})"), F.lit(1))
-
-        def wordy(w: Column) -> Column:
-            n = F.size(w)
-            return (
-                (n >= 4)
-                & (n <= 1.5 * F.size(F.split(F.trim(bare), r"\s+")))
-                & (F.size(F.filter(w, lambda x: x.isin(COMMON_WORDS))) >= 0.12 * n)
-                & (F.size(F.array_distinct(w)) >= F.least(F.lit(10.0), F.greatest(F.lit(3.0), 0.3 * n)))
-            )
-
-        return plain & _let(words, wordy)
-
-    return _let(F.regexp_replace(c, r"(?:https?|ftp)://\S+", "link"), judged)
-
-
-def _prose_size(block: Column) -> Column:
-    """Non-blank characters of a block (lines without a blank one between) that stand in sentences."""
-    add = lambda a, x: a + _size(x)
-
-    def measured(lines: Column) -> Column:
-        bullets = F.filter(lines, lambda x: x.rlike(_BULLET))
-        listed = F.filter(bullets, lambda x: (F.regexp_count(x, F.lit(_WORD)) >= 9) & _sentence(F.regexp_replace(x, _BULLET, "")))
-        rest = F.transform(F.filter(lines, lambda x: ~x.rlike(_BULLET)), lambda x: F.regexp_replace(x, _PREFIX, ""))
-
-        def running(rest: Column) -> Column:
-            def cut(text: Column) -> Column:
-                n = F.regexp_count(text, F.lit(_WORD))
-                ended = F.regexp_count(text, F.lit(_ENDED))
-                # With closing punctuation the text is cut there, whatever its line breaks; without, long lines stand
-                # for sentences, and short ones are a list.
-                return F.when(ended * 30 >= n, F.split(text, r"(?<=[.!?;…])\s+")).when(n >= 7 * F.size(rest), rest).otherwise(F.array().cast("array<string>"))
-
-            return F.aggregate(F.filter(_let(F.array_join(rest, " "), cut), _sentence), F.lit(0), add)
-
-        return _let(rest, running) + F.aggregate(listed, F.lit(0), add)
-
-    return _let(F.filter(F.split(block, "\n"), lambda x: F.length(F.trim(x)) > 0), measured)
-
-
 def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and, per document: n_words, mean_word_length, symbol_share (symbols per non-blank character), punctuated_line_share,
     bullet_line_share, ellipsis_line_share, common_word_share, alpha_word_share, n_common (distinct).
@@ -131,17 +76,3 @@ def rule_failures(stats: DataFrame) -> Column:
         ("lines_without_punctuation", F.col("punctuated_line_share") < 0.1),
     ]
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))
-
-
-def prose_share(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and prose_share, the share of non-blank characters in sentences; null, blank and one-word texts have 0."""
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    clean = F.regexp_replace(F.regexp_replace(t, "\r", ""), r"</?[a-zA-Z][^<>\n]{0,200}>", "")
-    rows = df.select(F.col(f"`{key}`").alias(key), F.regexp_replace(clean, "[   ]", " ").alias("_t"))
-    rows = rows.select(key, _size(F.col("_t")).alias("_size"), F.aggregate(F.split("_t", r"\n[ \t]*\n"), F.lit(0), lambda a, b: a + _prose_size(b)).alias("_prose"))
-    return rows.select(key, F.when(F.col("_size") > 0, F.col("_prose") / F.col("_size")).otherwise(F.lit(0.0)).alias("prose_share"))
-
-
-def not_prose(df: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
-    """The keys of documents of which less than ``least`` is running prose."""
-    return prose_share(df, key, text).where(F.col("prose_share") < least).select(key)

@@ -10,7 +10,8 @@ from .generated import generated_files
 from .leakage import leaked_items
 from .names import pairs_of, same_names
 from .packing import pack, with_token_counts
-from .quality import COMMON_WORDS, not_prose, rule_failures, text_statistics
+from .prose import not_prose, prose_share
+from .quality import COMMON_WORDS, rule_failures, text_statistics
 from .secrets import find_secrets, redact
 from .spans import shared_spans
 
@@ -76,7 +77,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return not_prose(_table(spark, d, "documents"), "doc_id", "text")
+    """The documents that fail, by the statistics of their segments; their reasons are in p10_prose."""
+    return not_prose(_table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_prose(spark: SparkSession, d: str) -> DataFrame:
+    """Per document the share of its characters in prose and the threshold that most of the others fail."""
+    s = prose_share(_table(spark, d, "documents"), "doc_id", "text")
+    return s.select("doc_id", F.round("prose_share", 6).alias("prose_share"), "reason")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +134,7 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     return e.join(e.groupBy("entity").agg((F.count("*") - 1).alias("n_links")), "entity").select("id", "entity", "n_links")
 
 
-QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
+QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p10_found": p10_found, "p10_prose": p10_prose, "p10_statistics": p10_statistics, "p10_reasons": p10_reasons, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_group_sizes": p5_group_sizes, "p4_found": p4_found, "p4_reasons": p4_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted}
 _GROUPS = """
 with recursive k as (select distinct id from authors where id is not null),
 l as (select row_number() over () as r, author_ids from identity_issues where replace(lower(trim(kind)), '-', '_') in ('split_identity', 'cross_submission')),

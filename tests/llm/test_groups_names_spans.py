@@ -8,7 +8,8 @@ from ledgerline.llm.components import components, groups_from_lists
 from ledgerline.llm.leakage import Matcher, common_length, leaked_items
 from ledgerline.llm.names import Lexicon, edits, fold, pairs_of, read_record, same_names
 from ledgerline.llm.packing import Windows, _merge, pack
-from ledgerline.llm.quality import not_prose, prose_share, text_statistics
+from ledgerline.llm.prose import not_prose, prose_share
+from ledgerline.llm.quality import text_statistics
 from ledgerline.llm.spans import shared_spans
 from ledgerline.llm.words import words
 
