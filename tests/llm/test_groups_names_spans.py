@@ -10,7 +10,8 @@ from ledgerline.llm.names import Lexicon, edits, fold, pairs_of, read_record, sa
 from ledgerline.llm.packing import Windows, _merge, pack
 from ledgerline.llm.prose import not_prose, prose_share
 from ledgerline.llm.quality import text_statistics
-from ledgerline.llm.spans import shared_spans
+from ledgerline.llm.spans import FingerprintIndex, shared_spans
+from ledgerline.runtime import Workspace
 from ledgerline.llm.words import words
 
 
@@ -108,7 +109,26 @@ def test_spans(spark, text):
     seq = (lambda s: "".join(chr(0x1F600 + x) for x in s)) if text else (lambda s: s)
     rows = [(i, seq(s), "x") for i, s in recs.items()] + [(200, None, "x"), (0, seq(recs[0]), "x")]
     df = spark.createDataFrame(rows, "id int, seq " + ("string" if text else "array<bigint>") + ", shared_len string")
-    assert {r.id: r.shared_len for r in shared_spans(df, 20, 10, text).collect()} == spans_brute(recs, 20)
+    for batches, fan_in in ((1, 4), (5, 2)):
+        assert {r.id: r.shared_len for r in shared_spans(df, 20, 10, text, batches, fan_in).collect()} == spans_brute(recs, 20)
+
+
+def test_fingerprint_index_matches_each_batch_with_the_history(spark):
+    space = Workspace(spark, "index-test")
+    index = FingerprintIndex(spark, space, buckets=2, fan_in=2)
+    batch = lambda *rows: spark.createDataFrame(rows, "id long, m long, a int, n int")
+    alive = lambda: {r.m for k in index.alive for r in spark.table(k).collect()}
+    index.add(batch((1, 10, 0, 1), (1, 10, 5, 1), (1, 11, 0, 1), (2, 12, 0, 1), (3, 12, 0, 1)))
+    assert alive() == {12}
+    index.add(batch((4, 11, 0, 1), (5, 13, 0, 1)))
+    assert alive() == {12, 11} and index.compactions == 0
+    index.add(batch((6, 13, 0, 1), (1, 10, 9, 1)))
+    assert alive() == {12, 11, 13} and index.compactions == 1 and len(index.runs) == 1
+    assert sorted((r.id, r.m) for r in index.shared().collect()) == [(1, 11), (2, 12), (3, 12), (4, 11), (5, 13), (6, 13)]
+    plan = spark.table(index.runs[0]).groupBy("m").count()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+    index.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ledgerline_run_")]
 
 
 def test_packing(spark):
