@@ -131,14 +131,19 @@ def reliability(labelled: DataFrame, worst: float = 0.9) -> DataFrame:
     return n.select("project_id", "dimension", F.round("top", 6).alias("top_share"), (F.col("top") > worst).alias("low"))
 
 
-def resurrections(changes: DataFrame) -> DataFrame:
+def resurrections(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """Lines that one author removed and another added later in the same project, compared exactly and counted by line.
 
-    changes has project_id, author_id, commit_ts, raw_diff. Only the earliest removal and the latest addition of a line
+    changes has commit_hash and raw_diff, commits hash, project_id, author_id, commit_ts; a line is known by its digest from
+    the scan on, so that no diff is shuffled. Only the earliest removal and the latest addition of a line
     and author matter, and of the authors who removed it the first two, as whoever adds it can be only one of them.
     """
-    x = changes.where("project_id is not null and author_id is not null and commit_ts is not null and raw_diff is not null")
-    one = lambda sign, pick, name: x.select("project_id", "author_id", "commit_ts", F.explode(F.array_distinct(F.filter(T.diff_lines(F.col("raw_diff"), sign), lambda l: F.length(l) >= 20))).alias("line")).groupBy("project_id", "line", "author_id").agg(pick("commit_ts").alias(name))  # noqa: E731, E741
+    who = commits.where("project_id is not null and author_id is not null and commit_ts is not null").select(F.col("hash").alias("commit_hash"), "project_id", "author_id", "commit_ts")
+    long = lambda sign: F.transform(F.filter(T.diff_lines(F.col("raw_diff"), sign), lambda l: F.length(l) >= 20), F.md5)  # noqa: E731, E741
+    marked = lambda sign: F.transform(F.array_distinct(long(sign)), lambda l: F.struct(F.lit(sign).alias("sign"), l.alias("line")))  # noqa: E731, E741
+    lines = changes.where("raw_diff is not null").select("commit_hash", F.explode_outer(F.concat(marked("-"), marked("+"))).alias("l")).where("l is not null").select("commit_hash", "l.sign", "l.line").distinct()
+    x = lines.join(who, "commit_hash")
+    one = lambda sign, pick, name: x.where(F.col("sign") == sign).groupBy("project_id", "line", "author_id").agg(pick("commit_ts").alias(name))
     first = Window.partitionBy("project_id", "line").orderBy("gone", "author_id")
     gone = one("-", F.min, "gone").withColumn("rank", F.row_number().over(first)).where("rank <= 2")
     back = one("+", F.max, "back").withColumnRenamed("author_id", "by")

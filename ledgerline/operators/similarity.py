@@ -77,10 +77,31 @@ def matched(fp: DataFrame, pairs: DataFrame, index: str) -> DataFrame:
 RUN = ["scope", "pa", "pb", "file_a", "file_b", "diag", "island"]
 
 
-def protected_hashes(fp: DataFrame, least: int = rules.PROTECTED_RUN) -> DataFrame:
-    m = matched(fp, candidate_pairs(fp), "pidx")
-    long = m.groupBy(*RUN).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return m.join(long.select(*RUN), RUN, "left_semi").select("scope", "hash_value").distinct()
+def shared_windows(fp: DataFrame, length: int) -> DataFrame:
+    """scope, project_id, digest, hashes of every stretch of ``length`` hashes of a file that stands in several projects.
+
+    A run of matches of at least that length between two projects is made of such stretches, so runs are found by
+    counting stretches, whatever number of projects holds a hash.
+    """
+    frame = Window.partitionBy("project_id", "file_path").orderBy("fidx").rowsBetween(0, length - 1)
+    w = fp.select("scope", "project_id", F.collect_list("hash_value").over(frame).alias("hashes")).where(F.size("hashes") == length)
+    w = w.withColumn("digest", F.struct(F.xxhash64("hashes").alias("x"), F.hash("hashes").alias("y")))
+    several = w.groupBy("scope", "digest").agg(F.min("project_id").alias("lo"), F.max("project_id").alias("hi")).where("lo <> hi").select("scope", "digest")
+    return w.join(several, ["scope", "digest"], "left_semi")
+
+
+def protected_hashes(fp: DataFrame, least: int = rules.PROTECTED_RUN, shared: int = rules.MIN_SHARED) -> DataFrame:
+    """scope, hash_value in any run of at least ``least`` matches between two projects with ``shared`` hashes in common."""
+    w = shared_windows(fp, least).withColumn("rich", F.size(F.array_distinct("hashes")) >= shared)
+    # A stretch of that many different hashes shows that the projects have enough in common. Where hashes repeat inside
+    # it, the projects that share it are looked up.
+    poor = w.where("not rich").select("scope", "digest", "project_id", "hashes").distinct()
+    pairs = poor.select("scope", "digest", F.col("project_id").alias("pa")).join(poor.select("scope", "digest", F.col("project_id").alias("pb")), ["scope", "digest"]).where("pa < pb").select("scope", "pa", "pb").distinct()
+    u = fp.select("scope", "project_id", "hash_value").distinct()
+    held = pairs.join(u.withColumnRenamed("project_id", "pa"), ["scope", "pa"]).join(u.withColumnRenamed("project_id", "pb"), ["scope", "pb", "hash_value"])
+    enough = held.groupBy("scope", "pa", "pb").agg(F.count("*").alias("n")).where(F.col("n") >= shared)
+    both = poor.join(enough.select("scope", F.col("pa").alias("project_id"), "pb"), ["scope", "project_id"]).join(poor.select("scope", "digest", F.col("project_id").alias("pb")), ["scope", "digest", "pb"], "left_semi")
+    return w.where("rich").select("scope", "hashes").unionByName(both.select("scope", "hashes")).select("scope", F.explode_outer("hashes").alias("hash_value")).distinct()
 
 
 def stop_hashes(fp: DataFrame, protected: DataFrame, share: float = rules.STOP_SHARE) -> DataFrame:
@@ -162,10 +183,11 @@ def second_pass(c: Comparison, groups: DataFrame, limits: Limits = LOOSE) -> Dat
     """Pairs inside a cluster that the first pass didn't report, compared on all fingerprints."""
     g = groups.select("cluster", "project_id")
     scope = c.fp.select("project_id", "scope").distinct()
-    a = g.join(scope, "project_id").select("cluster", "scope", F.col("project_id").alias("pa"))
-    b = g.select("cluster", F.col("project_id").alias("pb"))
-    # Inside a cluster only pairs with some hash in common can be reported.
-    pairs = a.join(b, "cluster").where("pa < pb").select("scope", "pa", "pb").join(candidate_pairs(c.fp, 1), ["scope", "pa", "pb"], "left_semi")
+    # Only projects with a run of matches in common can be reported: they meet at its stretches, those of a cluster at most.
+    fp = c.fp.join(g.select("cluster", "project_id"), "project_id")
+    w = shared_windows(fp.withColumn("scope", F.col("cluster")), -(-limits.run_tokens // limits.k)).select(F.col("scope").alias("cluster"), "project_id", "digest").distinct()
+    pairs = w.select("cluster", "digest", F.col("project_id").alias("pa")).join(w.select("cluster", "digest", F.col("project_id").alias("pb")), ["cluster", "digest"]).where("pa < pb").select("pa", "pb").distinct()
+    pairs = pairs.join(scope.select(F.col("project_id").alias("pa"), "scope"), "pa").select("scope", "pa", "pb")
     pairs = pairs.join(c.reports, ["pa", "pb"], "left_anti")
     return evaluate(c.fp, pairs, limits, Workspace(c.fp.sparkSession, "second-pass"))
 

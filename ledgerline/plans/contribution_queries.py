@@ -130,8 +130,7 @@ def commit_timeline_daily(s: SparkSession, d: str) -> DataFrame:
 
 
 def activity_weekly_zero_filled(s: SparkSession, d: str) -> DataFrame:
-    c = t.commits(s, d).where("commit_ts between timestamp_ntz'2024-01-01' and timestamp_ntz'2025-12-31'")
-    return tl.zero_filled_weeks(c).withColumn("week", F.col("week").cast("string"))
+    return tl.zero_filled_weeks(t.commits(s, d)).withColumn("week", F.col("week").cast("string"))
 
 
 def activity_monthly(s: SparkSession, d: str) -> DataFrame:
@@ -186,7 +185,7 @@ ORACLES = {
     "coauthors_only": f"with {q.C}, {q.A}, {_TRAIL} select * from silent",
     "pacing_summary": f"with {q.C}, d as (select project_id, cast(commit_ts as date) as day, count(*) as n from c where project_id is not null and commit_ts is not null group by all) select project_id, cast(arg_min(day, (-n, day)) as varchar) as peak_day, max(n) as peak_commits, round(avg(n), 6) as per_active_day, cast(max(day) - min(day) + 1 as integer) as span_days, count(*) as active_days from d group by project_id",
     "commit_timeline_daily": f"with {q.C} select project_id, cast(cast(commit_ts as date) as varchar) as day, count(*) as n_commits, cast(sum(coalesce(insertions, 0)) as bigint) as lines_added from c where project_id is not null and commit_ts is not null group by all",
-    "activity_weekly_zero_filled": f"with {q.C}, w as (select project_id, cast(commit_ts as date) - cast(dayofweek(commit_ts) as integer) as week, count(*) as n from c where project_id is not null and commit_ts between '2024-01-01' and '2025-12-31' group by all), s as (select project_id, cast(unnest(generate_series(min(week), max(week), interval 7 day)) as date) as week from w group by project_id) select s.project_id, cast(s.week as varchar) as week, coalesce(w.n, 0) as n_commits from s left join w on w.project_id = s.project_id and w.week = s.week",
+    "activity_weekly_zero_filled": f"with {q.C}, w as (select project_id, cast(commit_ts as date) - cast(dayofweek(commit_ts) as integer) as week, count(*) as n from c where project_id is not null and commit_ts is not null group by all), s as (select project_id, cast(unnest(generate_series(min(week), max(week), interval 7 day)) as date) as week from w group by project_id) select s.project_id, cast(s.week as varchar) as week, coalesce(w.n, 0) as n_commits from s left join w on w.project_id = s.project_id and w.week = s.week",
     "activity_monthly": f"with {q.C} select strftime(commit_ts, '%Y-%m') as month, count(*) as n_commits, count(distinct author_id) as n_authors from c where commit_ts is not null group by 1",
     "late_commits": f"with {q.D} select project_id, author_id, count(*) as n_late from d where commit_ts > deadline and author_id is not null group by all",
     "timing_flags": f"with {q.D}, h as (select project_id, (epoch_us(deadline) - epoch_us(commit_ts)) / 3.6e9 as h from d where deadline is not null and commit_ts is not null) select project_id, case when h < 0 then 'after_deadline' when h <= 48 then 'before_deadline_close' else 'normal' end as timing, count(*) as n_commits, round(min(h), 1) as least_hours from h group by 1, 2",

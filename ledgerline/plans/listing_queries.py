@@ -17,23 +17,23 @@ from . import sql as q
 
 
 def _added(s: SparkSession, d: str, pattern: str) -> DataFrame:
-    f = t.file_changes(s, d, "filename", "raw_diff").where(F.col("filename").rlike(pattern) & F.col("raw_diff").isNotNull())
+    f = t.file_rows(s, d, "filename", "raw_diff").where(F.col("filename").rlike(pattern) & F.col("raw_diff").isNotNull())
     lines = F.transform(F.filter(F.split("raw_diff", "\r?\n"), lambda x: x.startswith("+") & ~x.startswith("+++")), lambda x: F.substr(x, F.lit(2)))
     return f.select("id", "filename", F.array_join(lines, "\n").alias("code"))
 
 
 def script_tokens(s: SparkSession, d: str) -> DataFrame:
     x = tk.tokenize(_added(s, d, r"\.(js|jsx|ts|tsx)$"), "id", "filename", "code")
-    return x.select("id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct(F.filter(F.transform("tokens", lambda x: x["ident"]), lambda x: x.isNotNull()))).alias("n_idents"))
+    return t.once(x.select("id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct(F.filter(F.transform("tokens", lambda x: x["ident"]), lambda x: x.isNotNull()))).alias("n_idents")), "id")
 
 
 def python_tokens(s: SparkSession, d: str) -> DataFrame:
     x = tk.tokenize(_added(s, d, r"\.py$"), "id", "filename", "code")
-    return x.select("id", F.size("tokens").alias("n_tokens"))
+    return t.once(x.select("id", F.size("tokens").alias("n_tokens")), "id")
 
 
 def python_metrics(s: SparkSession, d: str) -> DataFrame:
-    return tk.metrics(_added(s, d, r"\.py$"), "id", "code").where("complexity is not null")
+    return t.once(tk.metrics(_added(s, d, r"\.py$"), "id", "code").where("complexity is not null"), "id")
 
 
 def global_search(s: SparkSession, d: str) -> DataFrame:

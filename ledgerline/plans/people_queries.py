@@ -26,7 +26,8 @@ def _deadlines(s: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return sc.labels(t.commits(s, d), t.file_changes(s, d, "commit_hash", "filename", "raw_diff"))
+    # Repeated rows of a change don't alter what is asked of it, so no diff is shuffled.
+    return sc.labels(t.commits(s, d), t.file_rows(s, d, "commit_hash", "filename", "raw_diff"))
 
 
 def _rates(s: SparkSession, d: str) -> DataFrame:
@@ -125,13 +126,11 @@ def verdict_rewrite(s: SparkSession, d: str) -> DataFrame:
 
 
 def project_red_flags(s: SparkSession, d: str) -> DataFrame:
-    f = t.file_changes(s, d, "commit_hash", "raw_diff").join(t.commits(s, d).select(F.col("hash").alias("commit_hash"), "project_id", "author_id", "commit_ts"), "commit_hash")
-    return sc.red_flags(_rates(s, d), sc.resurrections(f))
+    return sc.red_flags(_rates(s, d), code_resurrection_exact(s, d))
 
 
 def code_resurrection_exact(s: SparkSession, d: str) -> DataFrame:
-    f = t.file_changes(s, d, "commit_hash", "raw_diff").join(t.commits(s, d).select(F.col("hash").alias("commit_hash"), "project_id", "author_id", "commit_ts"), "commit_hash")
-    return sc.resurrections(f)
+    return sc.resurrections(t.file_rows(s, d, "commit_hash", "raw_diff"), t.commits(s, d))
 
 
 QUERIES = {f.__name__: f for f in (bot_filter, email_local_parts, name_tokens, split_identity_pairs, shared_accounts, pushed_by_other, cross_submission, team_kinds, unmerged_issues, issue_kinds, sample_full, sample_stratified, sample_random_seeded, sampling_stats, commit_labels, label_distributions, label_reliability, contributor_rates, quality_score, verdict_bands, verdict_rewrite, project_red_flags, code_resurrection_exact)}

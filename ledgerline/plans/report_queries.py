@@ -30,10 +30,10 @@ def project_risk(s: SparkSession, d: str) -> DataFrame:
 
 
 def students_of_projects(s: SparkSession, d: str) -> DataFrame:
-    """People with "ar" in name or address who committed to a project of the first course."""
-    p = t.projects(s, d).where("course_id = 1").select(F.col("id").alias("project_id"))
-    ids = t.commits(s, d).join(p, "project_id", "left_semi").select(F.col("author_id").alias("id"))
-    return t.authors(s, d).where(F.col("name").ilike("%ar%") | F.coalesce(F.col("email").ilike("%ar%"), F.lit(False))).join(ids, "id", "left_semi").select("id", "name")
+    """People with "ar" in name or address who committed to a project, by course."""
+    p = t.projects(s, d).select(F.col("id").alias("project_id"), "course_id")
+    ids = t.commits(s, d).select("project_id", F.col("author_id").alias("id")).distinct().join(p, "project_id").select("course_id", "id").distinct()
+    return t.authors(s, d).where(F.col("name").ilike("%ar%") | F.coalesce(F.col("email").ilike("%ar%"), F.lit(False))).join(ids, "id").select("course_id", "id", "name")
 
 
 def merged_aliases(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ QUERIES = {f.__name__: f for f in (contributor_rows, project_risk, students_of_p
 ORACLES = {
     "contributor_rows": cq._ROLL + f", {q.A}, {cq._TRAIL} select r.project_id, r.root_id as contributor_id, commit_count, lines_added, lower(trim(a.email)) as email from r left join a on a.id = r.root_id union all select project_id, cast(-row_number() over (partition by project_id order by email) as integer), 0, 0, email from silent",
     "project_risk": cq._ROLL + f", {q.P}, g as (" + cq._GINI.format(g="project_id", v="lines_added", t="root_id", f="r") + ") select p.id as project_id, name, round(gini, 4) as gini, case when round(gini, 4) >= 0.5 then 'high' when round(gini, 4) >= 0.3 then 'medium' else 'low' end as risk from g join p on p.id = g.project_id where name ilike '%a%' or description ilike '%a%'",
-    "students_of_projects": f"with {q.C}, {q.A}, {q.P} select id, name from a where (name ilike '%ar%' or email ilike '%ar%') and id in (select author_id from c where project_id in (select id from p where course_id = 1))",
+    "students_of_projects": f"with {q.C}, {q.A}, {q.P} select distinct course_id, a.id, a.name from a join c on c.author_id = a.id join p on p.id = c.project_id where a.name ilike '%ar%' or a.email ilike '%ar%'",
     "merged_aliases": q.FOLD + " select root_id, count(*) as n_commits, count(distinct author_id) as n_accounts from cr where root_id is not null group by root_id",
     "share_deviation": cq.ORACLES["share_bands"].replace(" select project_id, root_id, case", ", b as (select project_id, root_id, case") + ") select project_id, band, count(*) as n_authors from b group by all",
 }

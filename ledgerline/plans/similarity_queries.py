@@ -86,7 +86,7 @@ def status_carry_over(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (kgram_hashes, winnow_fingerprints, candidate_pairs, protected_hashes, stopword_hashes, match_runs, similarity_reports, similarity_clusters, cluster_pass2, comparison_coverage, plagiarism_detail, status_carry_over)}
 
 _TOK = f"tk as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}0-9]+') as tokens from documents), gh as (select doc_id, case when len(tokens) >= {rules.K} then list_transform(range(1, len(tokens) - {rules.K} + 2), lambda i: cast('0x' || substr(sha256(array_to_string(tokens[i:i + {rules.K} - 1], '-')), 1, 15) as bigint)) else [] end as h from tk)"
-_FP = f"{q.P}, fp0 as (select fp.project_id, p.course_id as scope, file_path, token_pos, hash_value, min(line_number) as line_number, min(raw_ident) as raw_ident from project_fingerprints fp join p on p.id = fp.project_id where file_path is not null and token_pos is not null and hash_value is not null group by all), fp as (select *, row_number() over (partition by project_id, file_path order by token_pos, hash_value) - 1 as fidx, row_number() over (partition by project_id order by file_path, token_pos, hash_value) - 1 as pidx from fp0)"
+_FP = f"{q.P}, fp0 as (select distinct on (fp.project_id, file_path, token_pos, hash_value) fp.project_id, p.course_id as scope, file_path, token_pos, hash_value, line_number, raw_ident from project_fingerprints fp join p on p.id = fp.project_id where file_path is not null and token_pos is not null and hash_value is not null order by fp.project_id, file_path, token_pos, hash_value, line_number nulls first, raw_ident nulls first), fp as (select *, row_number() over (partition by project_id, file_path order by token_pos, hash_value) - 1 as fidx, row_number() over (partition by project_id order by file_path, token_pos, hash_value) - 1 as pidx from fp0)"
 
 
 def _cand(name: str, fp: str, least: int) -> str:

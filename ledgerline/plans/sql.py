@@ -1,7 +1,7 @@
 """Common parts of the comparison SQL."""
 
 C = "c as (select distinct on (hash) hash, project_id, author_id, commit_ts, message, insertions, deletions, is_squash_suspected, committer_email, committer_name, synced_at from commits where hash is not null order by hash, (committer_email is not null) desc, synced_at desc)"
-A = "a as (select id, min(name) as name, min(email) as email, min(name_variants) as name_variants, min(canonical_author_id) as canonical_author_id from authors where id is not null group by id)"
+A = "a as (select distinct on (id) id, name, email, name_variants, canonical_author_id from authors where id is not null order by id, name nulls first, email nulls first, name_variants nulls first, canonical_author_id nulls first)"
 P = "p as (select distinct on (id) * from projects where id is not null)"
 K = "k as (select distinct on (id) * from courses where id is not null)"
 TREE = """n0 as (select id, min(canonical_author_id) as link from authors where id is not null group by id),
@@ -17,7 +17,7 @@ EXT = "lower(regexp_extract(" + BASE + r", '^.+(\.[^.]*)$', 1))"
 
 
 def changes(*cols: str) -> str:
-    return "f as (select id, " + ", ".join(f"min({c}) as {c}" for c in cols) + " from file_changes where id is not null group by id)"
+    return "f as (select distinct on (id) id, " + ", ".join(cols) + " from file_changes where id is not null order by id, " + ", ".join(f"{c} nulls first" for c in cols) + ")"
 
 
 def case(table: dict[str, str], e: str) -> str:

@@ -11,9 +11,15 @@ LOCAL_DEFAULT = "ledgerline-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of this machine only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one if the master is local (tests).
+
+    On a cluster an unset folder is an error: executors that each write to a disk of their own would lose rows.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/{LOCAL_DEFAULT}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -46,15 +52,20 @@ class Workspace:
         self.root = f"{home(spark)}/{purpose}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
 
-    def write(self, df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, sort_by: list[str] | None = None, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode("error").option("compression", "zstd").parquet(path)
+        writer = (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode("error").option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, path: str) -> None:
         remove(self.spark, path)
 
+    def drop(self, name: str) -> None:
+        """Remove a table that nothing reads any more."""
+        self.forget(self._paths.pop(name))
+
     def replace(self, df: DataFrame, name: str) -> DataFrame:
         """Write a new version of ``name`` and remove the one before, which nothing reads any more."""
         old = self._paths.get(name)
