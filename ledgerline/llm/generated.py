@@ -1,15 +1,17 @@
 """Generated, minified, vendored and data files told from hand-written source.
 
-Three sources of evidence are combined. Attribute files of a repository declare paths as generated or vendored, with
-the usual precedence: the file nearest to the path first, in it the last matching line. The text of a diff may show
-it: a generator's remark, a foreign licence, packed lines, tables of data. And path patterns are mined over all
-repositories: a directory or a name pattern under which nearly every visible file shows such text marks the files
-whose text shows nothing. Conventional patterns, given below as an attribute file, hold unless what is visible under
-them says otherwise.
+Attribute files of a repository declare paths as generated or vendored, with the usual precedence: the file nearest to
+the path first, in it the last matching line. They are parsed once, and meet the files of their repository by directory.
+Patterns equivalent to such declarations are mined and applied to the repositories without any: globs that several
+repositories declare, and directories, suffixes and names under which nearly every visible file shows by its text that
+no member wrote it. A visible file under a mined pattern must show it too. Conventional globs, given below as an
+attribute file, hold unless what is visible under them says otherwise. What no pattern covers is judged by its text
+alone: a generator's remark, a foreign licence, packed lines, tables of data.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -80,8 +82,10 @@ _DIRS = re.findall(r"^\*\*/([\w.-]+)/\*\* (\S+)$", CONVENTIONS, re.MULTILINE)
 MARKER_DIRS = {d.lower(): a for d, a in _DIRS}
 _NAMES = re.findall(r"^\*\*/(\*?[\w.-]+) (\S+)$", CONVENTIONS, re.MULTILINE)
 
-#: A pattern is mined from at least so many different files, of which at least this share shows evidence.
+#: A pattern is mined from at least so many different files, of which at least this share shows evidence,
 MINED_FILES, MINED_SHARE = 8, 0.9
+#: or from the declarations of at least so many repositories, of which at least the same share agrees.
+MINED_REPOS = 2
 #: A conventional directory is set aside where less than this share of its visible files shows evidence.
 CONVENTION_SHARE = 0.2
 
@@ -119,8 +123,10 @@ def evidence(path: str, diff: str) -> str | None:
     if not body:
         return None
     if ext not in ("md", "rst", "txt"):
-        for line in body[:_HEAD_LINES]:
-            if len(line) < 400 and (m := _COMMENT.match(line)):
+        for n, line in enumerate(body):
+            if n >= _HEAD_LINES and not _COMMENT.match(line):
+                break  # the comment that opens the file is read to its end
+            if len(line) < 4000 and (m := _COMMENT.match(line)):
                 said = m.group(1)
                 if _MADE.search(said):
                     return "generated"
@@ -154,12 +160,13 @@ def evidence(path: str, diff: str) -> str | None:
 
 
 def patterns_of(path: str) -> list[str]:
-    """The path patterns that a file stands under, each a glob anchored at the top of the repository."""
+    """The patterns that a file stands under: its directories from the top, the name of each anywhere, suffix and name."""
     parts = path.split("/")
     dirs, base = parts[:-1], parts[-1]
     out = []
-    for i in range(min(len(dirs), 3)):
+    for i in range(len(dirs)):
         out.append("/".join(dirs[: i + 1]) + "/**")
+        out.append(f"**/{dirs[i]}/**")
     low = base.lower()
     if low.count(".") >= 2 and not low.startswith("."):
         out.append("*." + low.split(".", 1)[1])
@@ -169,6 +176,16 @@ def patterns_of(path: str) -> list[str]:
     return out
 
 
+def pattern_of_rule(glob: str) -> str | None:
+    """A declared glob as one of the patterns that ``patterns_of`` gives, wherever in a repository it may apply."""
+    g = glob.strip().lstrip("/").removeprefix("**/")
+    if (m := re.fullmatch(r"([\w.-]+)/(?:\*\*?(?:/\*)?)?", g)) is not None:
+        return f"**/{m.group(1)}/**"
+    if re.fullmatch(r"\*(?:\.[\w-]+){2,}", g):
+        return g.lower()
+    return "=" + g if re.fullmatch(r"[\w.-]+", g) else None
+
+
 def conventional(path: str) -> tuple[str, str] | None:
     """(pattern, attribute) of the convention that the path meets; directories give the prefix up to their marker."""
     parts = path.split("/")
@@ -185,7 +202,8 @@ def conventional(path: str) -> tuple[str, str] | None:
 # --- attribute files -------------------------------------------------------------------------------------------
 
 
-def glob_regex(pattern: str) -> str:
+@functools.lru_cache(maxsize=20_000)
+def glob_regex(pattern: str) -> re.Pattern:
     """A pattern of an attribute file as a regular expression over paths relative to its directory."""
     anchored = "/" in pattern.rstrip("/")
     p = pattern.strip("/") + ("/**" if pattern.endswith("/") else "")
@@ -205,10 +223,11 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", j + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
-    return ("" if anchored else "(?:.*/)?") + out
+    return re.compile(("" if anchored else "(?:.*/)?") + out)
 
 
-def parse_attributes(text: str) -> list[tuple[str, str, bool | None]]:
+@functools.lru_cache(maxsize=5_000)
+def parse_attributes(text: str) -> tuple[tuple[str, str, bool | None], ...]:
     """(pattern, attribute, set / unset / unspecified) for the attributes that mark files, in the order of the lines."""
     out = []
     for line in text.split("\n"):
@@ -220,70 +239,89 @@ def parse_attributes(text: str) -> list[tuple[str, str, bool | None]]:
             name, _, value = a.lstrip("-!").partition("=")
             if name in ("linguist-generated", "linguist-vendored"):
                 out.append((pattern, name, None if a.startswith("!") else not (a.startswith("-") or value.lower() in ("false", "0", "no", "off"))))
-    return out
+    return tuple(out)
+
+
+def last_words(rest: str, rules) -> dict[str, bool | None]:
+    """What one attribute file says of a path relative to its directory: of the lines that match, the last per attribute."""
+    return {name: value for pattern, name, value in rules if glob_regex(pattern).fullmatch(rest)}
 
 
-def resolve(path: str, files: list[tuple[str, list[tuple[str, str, bool | None]]]]) -> dict[str, bool]:
+def resolve(path: str, files: list[tuple[str, tuple]]) -> dict[str, bool]:
     """The declared attributes of a path; ``files`` holds (directory, rules) of the repository's attribute files.
 
     Rules of a deeper directory override those above it, later lines of a file the earlier ones.
     """
     out: dict[str, bool | None] = {}
     for where, rules in sorted(files, key=lambda f: f[0].count("/") + bool(f[0])):
-        if where and not path.startswith(where + "/"):
-            continue
-        rest = path[len(where) + 1 :] if where else path
-        for pattern, name, value in rules:
-            if re.fullmatch(glob_regex(pattern), rest):
-                out[name] = value
+        if not where or path.startswith(where + "/"):
+            out |= last_words(path[len(where) + 1 :] if where else path, rules)
     return {k: v for k, v in out.items() if v is not None}
 
 
-def _declared(files: DataFrame, repos: DataFrame, space: Workspace) -> DataFrame | None:
-    """id and whether the file's repository declares it generated or vendored; None if no repository declares any."""
-    lines = files.where("path rlike '(^|/)[.]gitattributes$' and diff is not null")
-    if not lines.take(1):
-        return None
-    lines = lines.select("link", F.regexp_replace("path", "/?[.]gitattributes$", "").alias("at"), F.array_join(F.transform(F.filter(F.split("diff", "\r?\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substr(x, F.lit(2))), "\n").alias("rules"), "id")
-    repos = repos.select("link", "repo").distinct()
-    lines = space.write(lines.join(repos, "link").drop("link").distinct(), "attributes")
-    files = files.select("id", "path", "link").where("path is not null").join(repos, "link")
-    # A repository's attribute files, in the order they came; their number is bounded by its directories.
-    per_repo = lines.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "rules"))), lambda x: F.struct(x["at"].alias("at"), x["rules"].alias("rules"))).alias("attributes"))
-    joined = files.join(per_repo, "repo").select("id", "path", "attributes")
+def _attribute_files(rows: DataFrame, repos: DataFrame, space: Workspace) -> DataFrame:
+    """repo, at, rules: the latest text of each attribute file of a repository, by the order of the ids."""
+    lines = rows.where("path rlike '(^|/)[.]gitattributes$' and diff is not null")
+    body = F.array_join(F.transform(F.filter(F.split("diff", "\r?\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substr(x, F.lit(2))), "\n")
+    lines = lines.select("link", F.regexp_replace("path", "/?[.]gitattributes$", "").alias("at"), body.alias("rules"), "id")
+    return space.write(lines.join(repos, "link").groupBy("repo", "at").agg(F.max_by("rules", "id").alias("rules")), "attributes")
+
+
+def _declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
+    """id, declared for the files (id, path, repo) of which an attribute file above them says something.
+
+    A file meets the attribute files of its own directories only, by equality on repository and directory.
+    """
+    dirs = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(dirs) - 1), lambda i: F.array_join(F.slice(dirs, 1, i), "/"))
+    met = files.select("id", "path", "repo", F.explode_outer(above).alias("at")).join(attributes, ["repo", "at"]).select("id", "path", "at", "rules")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids, marks = [], []
-            for i, path, attributes in zip(f["id"], f["path"], f["attributes"]):
-                said = resolve(path, [(a["at"], parse_attributes(a["rules"])) for a in attributes])
-                if said:
-                    ids.append(i)
-                    marks.append(any(said.values()))
-            yield pd.DataFrame({"id": ids, "declared": marks})
+            out = []
+            for i, path, at, rules in zip(f["id"], f["path"], f["at"], f["rules"]):
+                said = last_words(path[len(at) + 1 :] if at else path, parse_attributes(rules))
+                out += [(i, k, at.count("/") + bool(at), {True: 1, False: 0, None: -1}[v]) for k, v in said.items()]
+            yield pd.DataFrame(out, columns=["id", "attribute", "depth", "value"])
 
     kind = dict(files.dtypes)["id"]
-    return joined.mapInPandas(run, f"id {kind}, declared boolean").groupBy("id").agg(F.max("declared").alias("declared"))
+    said = met.mapInPandas(run, f"id {kind}, attribute string, depth int, value int")
+    nearest = said.groupBy("id", "attribute").agg(F.max(F.struct("depth", "value"))["value"].alias("value")).where("value >= 0")
+    return nearest.groupBy("id").agg((F.max("value") == 1).alias("declared"))
+
+
+def _declared_patterns(attributes: DataFrame) -> DataFrame:
+    """pattern: globs that several repositories declare, nearly all of them in the same sense."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(repo, p, bool(v)) for repo, rules in zip(f["repo"], f["rules"]) for g, _, v in parse_attributes(rules) if v is not None and (p := pattern_of_rule(g))]
+            yield pd.DataFrame(out, columns=["repo", "pattern", "set"])
+
+    said = attributes.select("repo", "rules").mapInPandas(run, "repo string, pattern string, set boolean")
+    votes = said.groupBy("repo", "pattern").agg(F.max("set").alias("set")).groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.col("set").cast("int")).alias("share"))
+    return votes.where((F.col("n") >= MINED_REPOS) & (F.col("share") >= MINED_SHARE)).select("pattern")
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
 def generated_files(df: DataFrame, key: str, name: str, diff: str, link: str | None = None, repos: DataFrame | None = None, mined_files: int = MINED_FILES) -> DataFrame:
-    """key and reason for every file that was not written by hand; reasons: declared, generated, vendored, minified, data, convention, mined.
+    """key and reason for every file that was not written by hand; reasons: declared, mined, convention, generated, vendored, minified, data.
 
     ``repos`` (columns link, repo) gives the repository of a row by its column ``link``, for the rules of attribute
     files; rows without a repository are judged without them. Rows that repeat a key give one result. A row without a
     name is judged by its text, one without text by its name; one without both is no case. Binary files are judged by
-    name and directory only. Whole texts are read, whatever their length.
+    name and directory only. Whole texts are read, whatever their length. A declaration of the own repository, for or
+    against, overrides everything else.
     """
     space = Workspace(df.sparkSession, "generated")
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{name}`").alias("path"), F.col(f"`{diff}`").alias("diff"), (F.col(f"`{link}`") if link else F.lit(None).cast("string")).alias("link"))
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{name}`").alias("path"), F.col(f"`{diff}`").alias("diff"), (F.col(f"`{link}`").cast("string") if link else F.lit(None).cast("string")).alias("link"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, names, diffs = (b.column(i) for i in range(3))
+            ids, names, diffs, links = (b.column(i) for i in range(4))
             shown, visible, pats, conv, paths = [], [], [], [], []
             for n, d in zip(names.to_pylist(), diffs.to_pylist()):
                 path = normal_path(n or "")
@@ -295,22 +333,35 @@ def generated_files(df: DataFrame, key: str, name: str, diff: str, link: str | N
                 c = conventional(path) if path else None
                 conv.append(c[0] if c else None)
                 paths.append(path)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(paths, pa.string()), pa.array(shown, pa.string()), pa.array(visible, pa.bool_()), pa.array(pats, pa.list_(pa.string())), pa.array(conv, pa.string())], ["id", "path", "shown", "visible", "patterns", "convention"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(paths, pa.string()), pa.array(shown, pa.string()), pa.array(visible, pa.bool_()), pa.array(pats, pa.list_(pa.string())), pa.array(conv, pa.string()), links.cast(pa.string())], ["id", "path", "shown", "visible", "patterns", "convention", "link"])
 
-    seen = rows.select("id", "path", "diff").mapInArrow(look, f"id {kind}, path string, shown string, visible boolean, patterns array<string>, convention string")
+    seen = rows.select("id", "path", "diff", "link").mapInArrow(look, f"id {kind}, path string, shown string, visible boolean, patterns array<string>, convention string, link string")
     seen = space.write(seen, "seen")
     # Mining counts different paths, so that one much-changed file doesn't decide.
     files = seen.where("visible and path <> ''").groupBy("path").agg(F.max(F.col("shown").isNotNull().cast("int")).alias("hit"), F.first("patterns").alias("patterns"), F.first("convention").alias("convention"))
-    stats = files.select("hit", F.explode(F.array_distinct(F.concat("patterns", F.when(F.col("convention").isNotNull(), F.array("convention")).otherwise(F.array().cast("array<string>"))))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    stats = files.select("hit", F.explode_outer(F.array_distinct(F.concat("patterns", F.when(F.col("convention").isNotNull(), F.array("convention")).otherwise(F.array().cast("array<string>"))))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
     stats = space.write(stats.where(f"n >= {mined_files}").select("pattern", (F.col("hits") / F.col("n")).alias("share")), "patterns")
-    silent = seen.where("shown is null and path <> ''")
+    mined = stats.where(f"share >= {MINED_SHARE}").select("pattern")
+    declared = undeclared = None
+    if repos is not None:
+        normal = rows.withColumn("path", F.regexp_replace(F.regexp_replace("path", r"\\", "/"), "^/+", ""))
+        links = repos.select(F.col("link").cast("string").alias("link"), F.col("repo").cast("string").alias("repo")).distinct()
+        attributes = _attribute_files(normal, links, space)
+        if attributes.take(1):
+            placed = seen.where("path <> ''").select("id", "path", "link").join(links, "link")
+            declared = _declared(placed.select("id", "path", "repo"), attributes)
+            mined = mined.unionByName(_declared_patterns(attributes)).distinct()
+            # Patterns speak for the repositories that declare nothing themselves.
+            undeclared = attributes.select("repo").distinct().join(links, "repo").select("link").distinct()
+    binary = F.col("path").rlike("(?i)[.](png|jpe?g|gif|ico|bmp|webp|svg|woff2?|ttf|otf|eot|mp3|mp4|wav|pdf)$")
+    asked = seen.where("path <> ''").where(F.col("shown").isNotNull() | (~F.col("visible") & F.col("convention").isNull() & ~binary))
+    asked = asked.join(undeclared, "link", "left_anti") if undeclared is not None else asked
+    by_pattern = asked.select("id", F.explode_outer("patterns").alias("pattern")).join(mined, "pattern").select("id", F.lit(1).alias("rank"), F.lit("mined").alias("reason"))
     # The convention holds unless enough visible files under it say otherwise.
-    by_convention = silent.where("convention is not null").select("id", F.col("convention").alias("pattern")).join(stats, "pattern", "left").where(f"share is null or share >= {CONVENTION_SHARE}").select("id", F.lit("convention").alias("reason"))
-    mined = silent.where("not visible and convention is null").select("id", F.explode("patterns").alias("pattern")).join(stats.where(f"share >= {MINED_SHARE}"), "pattern").select("id", F.lit("mined").alias("reason"))
-    binary = seen.where("path rlike '(?i)[.](png|jpe?g|gif|ico|bmp|webp|svg|woff2?|ttf|otf|eot|mp3|mp4|wav|pdf)$'").select("id")
-    found = seen.where("shown is not null").select("id", F.col("shown").alias("reason")).unionByName(by_convention).unionByName(mined.join(binary.distinct(), "id", "left_anti"))
-    found = found.groupBy("id").agg(F.min("reason").alias("reason"))
-    declared = _declared(rows.withColumn("path", F.regexp_replace(F.regexp_replace("path", r"\\", "/"), "^/+", "")), repos, space) if repos is not None else None
+    silent = seen.where("path <> '' and convention is not null")
+    by_convention = silent.select("id", F.col("convention").alias("pattern"), "shown").join(stats, "pattern", "left").where(f"shown is not null or share is null or share >= {CONVENTION_SHARE}").select("id", F.lit(2).alias("rank"), F.lit("convention").alias("reason"))
+    by_text = seen.where("shown is not null").select("id", F.lit(3).alias("rank"), F.col("shown").alias("reason"))
+    found = by_pattern.unionByName(by_convention).unionByName(by_text).groupBy("id").agg(F.min(F.struct("rank", "reason"))["reason"].alias("reason"))
     if declared is not None:
         both = found.join(declared, "id", "full").select("id", F.when(F.col("declared"), "declared").when(~F.col("declared"), None).otherwise(F.col("reason")).alias("reason"))
         found = both.where("reason is not null")
