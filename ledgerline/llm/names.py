@@ -21,81 +21,24 @@ from pyspark.sql import functions as F
 from ..runtime import Workspace
 from .components import components
 
-# Common given names and their short forms.
-GIVEN_NAMES = """
-abigail: abby abi
-alexander: alex sasha alec
-amalia: mali
-andrea: andi
-anthony: tony
-anton: toni
-arthur: art
-barbara: babs barb
-beatrice: bea trixie
-benjamin: ben benji benny
-bernard: bernie
-boris: borya
-brigitta: gitta gitti
-carolina: caro
-catherine: cathy cath
-charlotte: lottie
-christopher: chris kit
-clemens: clem
-cordelia: delia
-cyril: cy
-daniel: dan danny
-deborah: debbie deb
-delphine: fina
-dimitri: dima
-dominic: dom nico
-dorothea: dora thea
-edward: ted ned eddie
-eleonora: nora ella
-elizabeth: liz beth eli betty
-emmanuel: manu
-ernesto: neto
-evelina: eva
-fatima: fati
-felicia: feli
-filippa: pippa
-florian: flo
-francesca: fran
-frederick: fred fritz
-gabriela: gabi
-genevieve: jenny
-giovanni: gianni
-gregory: greg
-gustav: gus
-gwendolyn: gwen
-hannelore: hanne
-harold: harry
-helena: lena
-henrietta: etta hetty
-horatio: race
-hubert: bert
-jacqueline: jackie
-james: jim
-joaquin: quino
-johannes: hannes
-jonathan: jon jonny
-joseph: joe
-josephine: josie
-judith: judy
-karolina: lina
-katherine: kate kitty kathy
-kenneth: ken
-kimberly: kim
-klaudia: klau
-konstantin: kostya
-margaret: maggie
-michael: mike
-nicholas: nick
-robert: bob rob
-samuel: sam
-stephanie: steffi
-thomas: tom
-vladimir: vlad
-william: bill will
+# Short forms of common English, German and Spanish given names that stand for one name only. All other
+# given names and short forms are learnt from the records.
+SHORT_FORMS = """
+abigail: abby; alexander: alex sasha; andrew: andy drew; anthony: tony; barbara: barb babs; beatrice: bea trixie; benjamin: ben benji benny
+bernard: bernie; boris: borya; caroline: carrie; carolina: caro; catherine: cathy
+charles: charlie chuck; charlotte: lottie; christopher: chris kit; daniel: dan danny; david: dave; deborah: deb debbie; dimitri: dima
+dominic: dom; edward: ed eddie ted ned; eleanor: nell; elizabeth: liz beth betty; ernesto: neto; eugene: gene
+florian: flo; francisco: paco pancho; frank: frankie; frederick: fred freddie; friedrich: fritz
+gabriel: gabe; george: georgie; gerald: gerry; giovanni: gianni; giuseppe: beppe; gregory: greg; gustav: gus; gwendolyn: gwen
+harold: hal; heinrich: heinz; helena: lena; henry: hank; ignacio: nacho; isabel: isa; jacob: jake; jacqueline: jackie
+james: jim jimmy; jeffrey: jeff; jennifer: jen jenny; jessica: jess; johannes: hannes; john: jack johnny; jonathan: jon
+joseph: joe; joshua: josh; josephine: josie; judith: judy; katharina: kathi; katherine: kate kathy katie kitty
+kenneth: ken; kimberly: kim; konstantin: kostya; lawrence: larry; leonard: len lenny; manuel: manolo; margaret: maggie meg peggy
+matthew: matt; maximilian: max; michael: mike mick; nathaniel: nate; nicholas: nick nicky; pamela: pam; patricia: patty trish
+peter: pete; philip: phil; raymond: ray; rebecca: becky; richard: rick rich; robert: bob rob bobby; ronald: ron; samuel: sam sammy
+sebastian: basti; stephanie: steph steffi; stephen: steve; susan: sue susie; theodore: theo; theresa: tess; thomas: tom tommy
+timothy: tim; ulrich: uli; victoria: vicky; vincent: vince; vladimir: vlad; walter: walt; wilhelm: willi; william: will bill billy
+zachary: zach
 """
 # Titles, particles, words of organisations and names that stand for nobody.
 TITLES = set("dr prof professor msc bsc phd mag ing eng dipl mr mrs ms miss herr frau sr sra srta sir".split())
@@ -104,11 +47,11 @@ ORG_KINDS = {"lab": "labs", "labs": "labs", "laboratory": "labs", "laboratories"
 NOBODY = set("unknown user student students root admin administrator your name you test tester guest anonymous nobody none null undefined default git github gitlab localhost dev developer developers owner me someone somebody team default noname na ubuntu vagrant jenkins system service ci build runner actions dependabot renovate".split())
 BOT = re.compile(r"(?i)\[bot\]|(?:^|[\W_])bots?(?:$|[\W_])|noreply@|automation|autobot|dependabot|renovate|github-actions|deploy(?:er)?[-_ ]?key")
 
-SHORT = {s: full.strip() for full, _, shorts in (line.partition(":") for line in GIVEN_NAMES.strip().split("\n")) for s in shorts.split()}
-FULL = {line.partition(":")[0].strip() for line in GIVEN_NAMES.strip().split("\n")}
+SHORT = {s: full.strip() for full, _, shorts in (x.partition(":") for x in re.split(r"[;\n]", SHORT_FORMS) if x.strip()) for s in shorts.split()}
+FULL = set(SHORT.values())
 #: A token with at least so many different companions in names counts as a given name if more than this share of what
-#: is known of its place in them says so; at most so many are kept.
-GIVEN_COMPANIONS, GIVEN_SHARE, MOST_GIVEN = 8, 0.5, 20_000
+#: is known of its place in them says so.
+GIVEN_COMPANIONS, GIVEN_SHARE = 8, 0.5
 #: A nickname is learnt from at least so many records that agree to this share.
 NICK_RECORDS, NICK_SHARE = 4, 0.8
 _LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "đ": "d", "Đ": "D", "ð": "d", "þ": "th", "ı": "i"})
@@ -151,19 +94,17 @@ def edits(a: str, b: str, most: int = 2) -> int:
     return min(one[-1], most + 1)
 
 
+_NEVER_GIVEN = TITLES | PARTICLES | set(ORG_KINDS) | NOBODY
+
+
 class Lexicon:
-    """Given names and short forms: the common ones and those learnt from the records."""
+    """The given names and short forms that may occur in one record."""
 
     def __init__(self, given: set[str], nick: dict[str, str]):
-        self.nick = {**nick, **SHORT}
-        self.given = (set(given) | FULL | set(self.nick)) - TITLES - PARTICLES - set(ORG_KINDS) - NOBODY
+        self.nick = {**SHORT, **nick}
+        self.given = (set(given) | FULL | set(self.nick)) - _NEVER_GIVEN
         self.full = sorted((g for g in self.given if len(g) >= 4 and g not in self.nick), key=len, reverse=True)
-        by_len: dict[int, list[str]] = {}
-        for g in self.given - set(self.nick):
-            if len(g) >= 5:
-                by_len.setdefault(len(g), []).append(g)
-        self.by_len = by_len
-        self._near: dict[str, str | None] = {}
+        self.long = [g for g in self.given if len(g) >= 5 and g not in self.nick]
 
     def canonical(self, t: str) -> str:
         return self.nick.get(t, t)
@@ -172,15 +113,8 @@ class Lexicon:
         """The given name that a token is, perhaps with one slip."""
         if t in self.given:
             return self.canonical(t)
-        if t not in self._near:
-            hit = None
-            if len(t) >= 4:
-                near = [g for n in (len(t) - 1, len(t), len(t) + 1) for g in self.by_len.get(n, ()) if edits(t, g, 1) <= 1]
-                hit = self.canonical(near[0]) if len(near) == 1 else None
-            if len(self._near) < 200_000:
-                self._near[t] = hit
-            return hit
-        return self._near[t]
+        near = [g for g in self.long if abs(len(g) - len(t)) <= 1 and edits(t, g, 1) <= 1] if len(t) >= 4 else []
+        return self.canonical(near[0]) if len(near) == 1 else None
 
 
 def split_name(name: str) -> tuple[list[str], set[str], bool]:
@@ -385,8 +319,59 @@ def read_record(name: str | None, email: str | None, variants: list[str] | None,
     return out
 
 
-def _learn(rows: DataFrame, space: Workspace) -> Lexicon:
-    """Given names by their many companions and their place, short forms by the full name that stands with them.
+def _cuts(t: str) -> set[str]:
+    """A word and what is left of it without one letter: two words one slip apart have one of these in common."""
+    return {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
+
+
+def lookup_keys(name: str | None, email: str | None, variants: list[str] | None) -> set[str]:
+    """The keys under which a given name that may occur in a record is found: "=" whole, "~" with a slip."""
+    out: set[str] = set()
+    words: set[str] = set()
+    for form in [name, *(variants or [])]:
+        tokens = split_name(form or "")[0]
+        words |= set(tokens)
+        if len(tokens) == 1:
+            words.add(re.sub(r"\d+$", "", re.sub(r"[^a-z0-9]", "", fold(form or "").lower())))
+    local = re.sub(r"^\d+\+", "", fold((email or "").split("@")[0]).lower()).split("+")[0]
+    pieces = {x for x in re.split(r"[._\-\s]+", re.sub(r"\d*$", "", local)) if x.isalpha()} | {re.sub(r"[^a-z]", "", local)}
+    for w in words | pieces:
+        out.add("=" + w)
+        if 4 <= len(w) <= 40:
+            out |= {"~" + c for c in _cuts(w)}
+        # A given name may be run together with the rest of a login.
+        out |= {"=" + w[:i] for i in range(4, min(len(w), 20))} | {"=" + w[i:] for i in range(max(1, len(w) - 20), len(w) - 3)}
+    return out - {"=", "~"}
+
+
+def _with_lexicon(rows: DataFrame, given: DataFrame, nick: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """rows with the entries (t, canon) of given(t) and nick(t, canon) that may occur in them, found by equality of keys."""
+
+    def record_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [(i, k) for i, n, e, v in zip(f["id"], f["name"], f["email"], f["variants"]) for k in lookup_keys(n, e, list(v) if v is not None else None)]
+            yield pd.DataFrame(got, columns=["id", "key"])
+
+    def entry_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [(t, c, k) for t, c in zip(f["t"], f["canon"]) for k in ["=" + t, *(["~" + x for x in _cuts(t)] if len(t) >= 5 and not c else [])]]
+            yield pd.DataFrame(got, columns=["t", "canon", "key"])
+
+    kind = dict(rows.dtypes)["id"]
+    entries = given.select("t", F.lit("").alias("canon")).unionByName(nick.select("t", "canon")).mapInPandas(entry_keys, "t string, canon string, key string")
+    keys = rows.select("id", "name", "email", "variants").mapInPandas(record_keys, f"id {kind}, key string")
+    met = keys.join(entries, "key").select("id", "t", "canon").distinct().groupBy("id").agg(F.collect_list(F.struct("t", "canon")).alias("lexicon"))
+    return space.write(rows.join(met, "id", "left"), name)
+
+
+def _local(entries) -> Lexicon:
+    entries = [] if entries is None else list(entries)
+    return Lexicon({x["t"] for x in entries if not x["canon"]}, {x["t"]: x["canon"] for x in entries if x["canon"]})
+
+
+def _learn(rows: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """given(t) and nick(t, canon): given names by their many companions and their place, short forms by the full name
+    that stands with them.
 
     A family name that many bear has many companions too. It differs by the place, whatever the number of records: a
     given name stands first or after the comma, and an address that cuts one name to its initial cuts the given name.
@@ -410,15 +395,15 @@ def _learn(rows: DataFrame, space: Workspace) -> Lexicon:
 
     seen = rows.select("name", "email", "variants").mapInPandas(pairs, "t string, with string, by string, given boolean").distinct()
     top = seen.groupBy("t").agg(F.count_distinct("with").alias("n"), F.avg(F.col("given").cast("int")).alias("share"))
-    top = top.where((F.col("n") >= GIVEN_COMPANIONS) & (F.col("share") > GIVEN_SHARE)).orderBy(F.desc("n"), "t").limit(MOST_GIVEN)
-    given = {r["t"] for r in top.collect()}
-    base = Lexicon(given, {})
-    wide = given | FULL
+    given = space.write(top.where((F.col("n") >= GIVEN_COMPANIONS) & (F.col("share") > GIVEN_SHARE)).select("t"), "given")
+    none = given.select("t", F.lit("").alias("canon")).where("false")
 
     def nicks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for name, email, variants in zip(f["name"], f["email"], f["variants"]):
+            for name, email, variants, lexicon in zip(f["name"], f["email"], f["variants"], f["lexicon"]):
+                base = _local(lexicon)
+                wide = FULL | ({x["t"] for x in lexicon} if lexicon is not None else set())
                 firsts, fulls = set(), set()
                 for form in [name, *(variants if variants is not None else [])]:
                     tokens, short, turned = split_name(form or "")
@@ -430,80 +415,79 @@ def _learn(rows: DataFrame, space: Workspace) -> Lexicon:
                 out += [(a, b) for a in firsts for b in fulls if a != b and len(a) < len(b)]
             yield pd.DataFrame(out, columns=["nick", "full"])
 
-    counts = rows.select("name", "email", "variants").mapInPandas(nicks, "nick string, full string").groupBy("nick", "full").agg(F.count("*").alias("n"))
+    known = _with_lexicon(rows, given, none, space, "with_given")
+    counts = known.select("name", "email", "variants", "lexicon").mapInPandas(nicks, "nick string, full string").groupBy("nick", "full").agg(F.count("*").alias("n"))
     w = Window.partitionBy("nick")
     best = counts.withColumn("all", F.sum("n").over(w)).where((F.col("n") >= NICK_RECORDS) & (F.col("n") >= NICK_SHARE * F.col("all")))
-    nick = {r["nick"]: r["full"] for r in best.select("nick", "full").limit(MOST_GIVEN).collect() if r["nick"] not in FULL and r["full"] not in SHORT}
+    best = best.where(~F.col("nick").isin(sorted(FULL)) & ~F.col("full").isin(sorted(SHORT)))
     # A token with a full name of its own among the given names isn't a short form unless it begins or ends that name.
-    nick = {a: b for a, b in nick.items() if a not in given or b.startswith(a[:2]) or b.endswith(a[-2:])}
-    return Lexicon(given, nick)
+    own = given.select(F.col("t").alias("nick"), F.lit(True).alias("own"))
+    ends = F.col("full").startswith(F.substring("nick", 1, 2)) | F.col("full").endswith(F.substring("nick", -2, 2))
+    best = best.join(own, "nick", "left").where(F.col("own").isNull() | ends)
+    return given, space.write(best.select(F.col("nick").alias("t"), F.col("full").alias("canon")), "nicks")
 
 
-PROFILE = "kind string, given string, initial string, prefix string, family string, sure boolean, num string, guesses array<string>"
+PROFILE = "spelling string, kind string, given string, initial string, prefix string, family string, sure boolean, num string, guesses array<string>"
 
 
 def profiles(records: DataFrame, key: str, name: str, email: str, variants: str, space: Workspace) -> DataFrame:
+    """id, how the name is spelled (its tokens in order of the alphabet), and what the record says of its person."""
     kind = dict(records.dtypes)[key]
     rows = records.select(F.col(f"`{key}`").alias("id"), F.col(f"`{name}`").alias("name"), F.col(f"`{email}`").alias("email"), F.col(f"`{variants}`").alias("variants")).where("id is not null").dropDuplicates(["id"])
     rows = space.write(rows, "records")
-    lex = _learn(rows, space)
-    given, nick = lex.given, lex.nick
+    rows = _with_lexicon(rows, *_learn(rows, space), space, "with_lexicon")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(given, nick)
         for f in frames:
-            got = [read_record(n, e, list(v) if v is not None else None, lexicon) for n, e, v in zip(f["name"], f["email"], f["variants"])]
+            got = [read_record(n, e, list(v) if v is not None else None, _local(x)) for n, e, v, x in zip(f["name"], f["email"], f["variants"], f["lexicon"])]
             out = pd.DataFrame(got, columns=list(EMPTY))
+            out.insert(0, "spelling", [" ".join(sorted(split_name(n or "")[0])) for n in f["name"]])
             out.insert(0, "id", f["id"].to_numpy())
             yield out
 
     return space.write(rows.mapInPandas(read, f"id {kind}, {PROFILE}"), "profiles")
 
 
-#: Grams of the family name that two spellings must share, and the verified similarity of given and family name.
-GRAM_SHARE, SAME = 0.45, 0.9
+#: The verified similarity of given and family name.
+SAME = 0.9
 
 
-def _alike(left: DataFrame, keys: DataFrame, by: str) -> DataFrame:
-    """left(by, family, n) x keys(by, family, n, sure) -> by, f, g, gn, gsure: every two spellings verified as one name.
+def _alike(nodes: DataFrame, others: DataFrame, by: str) -> DataFrame:
+    """nodes(by, family, node, n) x others(by, family, node, n) -> a, b: every two verified as spellings of one name.
 
-    Set-similarity join on the two-letter grams of the family name among keys of one given name (or initial), by prefix
-    filter: with grams in order of rarity, two sets that share enough of them share one among the first few.
+    Set-similarity join on the two-letter grams of the tokens by prefix filter. Two names that may be one differ by at most
+    one slip (two from ten letters on), which touches at most three (four) grams; so with grams in order of rarity, one of
+    the first four (five) is common to both. Verified by soft token similarity in which rare tokens count more: ``by`` is
+    the token that both share, and the family name is weighed by its frequency and how near the two are.
     """
-
     padded = F.concat(F.lit("^"), F.col("family"), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, 2)))
-    rarity = keys.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-
-    def prefix(k: DataFrame, *more: str) -> DataFrame:
-        k = k.withColumn("grams", grams)
-        long = k.select(by, "family", "n", *more, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-        # Grams that no key has come first, as the rarest.
+    families = others.select(by, "family").distinct()
+    rarity = families.select(F.explode_outer(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    first = F.when(F.length("family") >= 9, 5).otherwise(4)  # one of nine letters may be a slip of one of ten
+
+    def prefix(k: DataFrame) -> DataFrame:
+        names = k.select(by, "family").distinct().withColumn("grams", grams)
+        long = names.select(by, "family", first.alias("first"), F.explode_outer("grams").alias("gram"))
+        # Grams that no other name has come first, as the rarest.
         long = long.join(rarity, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         order = Window.partitionBy(by, "family").orderBy("df", "gram")
-        return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * GRAM_SHARE) + 1)
+        kept = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("first")).select(by, "family", "gram")
+        return kept.join(k, [by, "family"])
 
-    one = prefix(left).select(by, "gram", F.col("family").alias("f"), F.col("n").alias("fn"), F.col("size").alias("fs"))
-    other = prefix(keys, "sure").select(by, "gram", F.col("family").alias("g"), F.col("n").alias("gn"), F.col("size").alias("gs"), F.col("sure").alias("gsure"))
-    pairs = one.join(other, [by, "gram"]).where("f <> g and abs(fs - gs) <= 2").select(by, "f", "fn", "g", "gn", "gsure").distinct()
-    # Soft token similarity, rare tokens counting more: the given name is the same, so its share is its weight.
-    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    one = prefix(nodes).select(by, "gram", F.col("family").alias("f"), F.col("node").alias("a"), F.col("n").alias("fn"))
+    other = prefix(others).select(by, "gram", F.col("family").alias("g"), F.col("node").alias("b"), F.col("n").alias("gn"))
+    pairs = one.join(other, [by, "gram"]).where("a <> b and abs(length(f) - length(g)) <= 2").drop("gram").distinct()
+    total = others.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weight = lambda n: F.log(1 + F.lit(float(total)) / n)
-    common = keys.groupBy(by).agg(F.sum("n").alias("common_n"))
-    pairs = pairs.join(common, by)
+    pairs = pairs.join(others.groupBy(by).agg(F.sum("n").alias("common_n")), by)
     slips = F.levenshtein("f", "g")
     swapped = slips - F.when((slips == 2) & (F.length("f") == F.length("g")) & (F.array_join(F.array_sort(F.split("f", "")), "") == F.array_join(F.array_sort(F.split("g", "")), "")), 1).otherwise(0)
     wg, wf = weight(F.col("common_n")), weight(F.greatest("fn", "gn"))
     near = 1 - swapped / F.greatest(F.length("f"), F.length("g"))
     allowed = F.when(F.greatest(F.length("f"), F.length("g")) >= 10, 2).otherwise(1)
-    return pairs.withColumn("sim", (wg + wf * near) / (wg + wf)).where((F.col("sim") >= SAME) & (swapped <= allowed) & (F.least(F.length("f"), F.length("g")) >= 5))
-
-
-def _spellings(keys: DataFrame) -> DataFrame:
-    """keys(given, family, n, sure) -> given, f, g: every verified pair of an unsure spelling and a better-known one."""
-    # Only unsure keys look for another; the other side is any better-known key.
-    pairs = _alike(keys.where("not sure").select("given", "family", "n"), keys, "given")
-    return pairs.where("gsure or gn > fn or (gn = fn and g < f)")
+    alike = (swapped == 0) | ((swapped <= allowed) & (F.least(F.length("f"), F.length("g")) >= 5))
+    return pairs.withColumn("sim", (wg + wf * near) / (wg + wf)).where((F.col("sim") >= SAME) & alike)
 
 
 def same_names(records: DataFrame, key: str, name: str, email: str, variants: str) -> DataFrame:
@@ -521,14 +505,19 @@ def same_names(records: DataFrame, key: str, name: str, email: str, variants: st
     guessed = guessed.groupBy("id").agg(F.min(F.struct("at", "family"))["family"].alias("guess"))
     p = p.join(guessed, "id", "left").withColumn("family", F.coalesce("family", "guess")).withColumn("sure", F.col("sure") | F.col("guess").isNotNull()).where("family is not null").drop("guess", "guesses")
     p = space.write(p, "named")
-    full = p.where("given is not null").groupBy("given", "family").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
-    full = space.write(full, "keys")
     org = F.col("kind").startswith("org")
     at = lambda *c: F.concat_ws("|", *c)
-    # Every verified pair of spellings is a link of two keys; what they connect is one name, however many links away.
-    linked = _spellings(full).select(at("given", "f").alias("a"), at("given", "g").alias("b"))
+    p = p.withColumn("node", F.when(F.col("given").isNotNull(), at("given", "family", "spelling")))
+    # Copies of a spelling are one node; every verified pair of nodes is a link, and what they connect is one name,
+    # however many links away. Two names that are both certain are one only if they agree.
+    known = p.where("given is not null").groupBy("given", "family").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+    full = space.write(p.where("given is not null").select("given", "family", "node").distinct().join(known, ["given", "family"]), "keys")
+    linked = _alike(full.drop("sure"), full.drop("sure"), "given")
+    certain = full.where("sure").select("node")
+    unsure = linked.where("f <> g and a < b").join(certain.withColumnRenamed("node", "a"), "a", "left_semi").join(certain.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    linked = linked.where("a < b").select("a", "b").join(unsure, ["a", "b"], "left_anti")
     groups = components(space.write(linked, "links"), "a", "b")
-    p = p.withColumn("node", F.when(F.col("given").isNotNull(), at("given", "family"))).join(groups, "node", "left")
+    p = p.join(groups, "node", "left")
     p = space.write(p.withColumn("one", F.coalesce("component", "node")).drop("node", "component"), "respelled")
     strong = p.where("given is not null").select("id", at(F.when(org, "o").otherwise("p"), "one").alias("hub"))
     # Who has only an initial may be any name of that family and initial, or one that shares a spelling with such a name.
@@ -545,7 +534,8 @@ def same_names(records: DataFrame, key: str, name: str, email: str, variants: st
     own = bare.select("family", "initial", at(F.lit("w"), "family", "initial").alias("hub"))
     # A spelling that no other record confirms, without a given name: the family that it nearly is, if it is the only one.
     known = mine.groupBy("family", "initial").agg(F.sum("n").alias("n"), F.max("sure").alias("sure")).unionByName(bare.where("sure"))
-    close = _alike(bare.where("not sure").select("family", "initial", "n"), known, "initial").select("initial", "f", F.col("g").alias("family"))
+    keyed = lambda df: df.select("initial", "family", "n", F.col("family").alias("node"))
+    close = _alike(keyed(bare.where("not sure")), keyed(known), "initial").select("initial", "f", F.col("g").alias("family"))
     close = close.join(names.unionByName(own), ["family", "initial"]).select(F.col("f").alias("family"), "initial", "hub")
     may = names.unionByName(close).groupBy("family", "initial").agg(F.min("hub").alias("a"), F.max("hub").alias("b")).where("a = b").select("family", "initial", F.col("a").alias("hub"))
     may = space.write(may, "fitting")
@@ -554,9 +544,9 @@ def same_names(records: DataFrame, key: str, name: str, email: str, variants: st
     alone = weak.join(own, ["family", "initial"]).select("id", "hub")
     # The number that a person's addresses carry, whole or its last two digits, under every family that the record may have.
     tail = F.lpad(F.substring("num", -2, 2), 2, "0")
-    last = F.element_at(F.split("one", r"\|"), -1)
+    last = F.element_at(F.split("one", r"\|"), 2)
     counted = p.where(~org & F.col("num").isNotNull() & F.col("initial").isNotNull()).select("id", "family", "initial", "given", "one", tail.alias("tail"))
-    called = names.unionByName(may).where("hub like 'p|%'").select("family", "initial", F.element_at(F.split("hub", r"\|"), -1).alias("called")).distinct()
+    called = names.unionByName(may).where("hub like 'p|%'").select("family", "initial", F.element_at(F.split("hub", r"\|"), 3).alias("called")).distinct()
     numbered = counted.select("id", "initial", "tail", "family").unionByName(counted.where("given is not null").select("id", "initial", "tail", last.alias("family")))
     numbered = numbered.unionByName(counted.where("given is null").join(called, ["family", "initial"]).select("id", "initial", "tail", F.col("called").alias("family")))
     numbered = numbered.select("id", at(F.lit("n"), "family", "initial", "tail").alias("hub")).distinct()

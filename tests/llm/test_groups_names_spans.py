@@ -38,7 +38,7 @@ def test_components(spark):
 
 
 def test_names(spark):
-    lex = Lexicon(set(), {})
+    lex = Lexicon({"joaquin"}, {"quino": "joaquin"})
     assert fold("SÃ¸ren Ñandú") == "Soren Nandu" and edits("wormenodal", "wromenodal") == 1
     assert read_record("Quino Føllaludt", "j.follaludt54@x.example", None, lex)["given"] == "joaquin"
     assert read_record("deps[bot]", "1+deps[bot]@users.noreply.forge.example", None, lex)["kind"] is None
