@@ -6,11 +6,14 @@ import html
 import re
 import unicodedata
 
+import regex
+
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|a|code|tt|mark|sup|sub|font|small|big|abbr|cite|q|kbd|var|del|ins)(?:\s[^<>]{0,300})?/?>", re.IGNORECASE)
 _TAG = re.compile(r"<(?:!--.{0,2000}?--|/?[a-zA-Z][a-zA-Z0-9:-]{0,30}(?:\s[^<>]{0,500})?/?)>", re.DOTALL)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtfv0\"'/\\])")
 _LINK = re.compile(r"\]\((?:[^()\s]{0,500})\)")
 _WRAPPED = re.compile(r"(?<=[^\W\d_])[-‐\u2011]\r?\n[ \t>*#/;%|-]*(?=[^\W\d_A-Z])")
+_MARKS = regex.compile(r"[\p{Cf}\p{Mn}]+")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 
@@ -25,7 +28,7 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
         # Marks on a letter that NFKC couldn't join would cut a word in two.
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn")) if not text.isascii() else text
+        text = _MARKS.sub("", text) if not text.isascii() else text
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "&" in text:
