@@ -49,6 +49,29 @@ def winnowed(grams: DataFrame, key: str, w: int = rules.W) -> DataFrame:
     return best.select(key, F.col("b.h").alias("hash_value"), (-F.col("b.p")).alias("pos")).distinct()
 
 
+def fingerprints_of(files: DataFrame, k: int = rules.K, w: int = rules.W, chunk: int = 100_000) -> DataFrame:
+    """project_id, hash_value, token_pos, file_path, line_number, raw_ident of the winnowed fingerprints of whole projects.
+
+    files has project_id, file_path and tokens (array of token, line, ident). A project is one stream of its files in order
+    of path, so grams and windows run across the borders of files; a fingerprint belongs to the file of its first token.
+    Streams are cut into chunks that overlap by what a window reaches over, so a large project isn't one task. Files
+    without tokens add nothing, and a stream with fewer than w grams gives none.
+    """
+    f = files.where("project_id is not null").select("project_id", F.coalesce("file_path", F.lit("")).alias("file_path"), "tokens").withColumn("n", F.greatest(F.size("tokens"), F.lit(0)).cast("bigint"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("project_id").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    f = f.withColumn("before", before)
+    x = f.select("project_id", "file_path", "before", F.posexplode_outer("tokens").alias("i", "t")).where("t is not null").select("project_id", "file_path", (F.col("before") + F.col("i")).alias("pos"), "t.token", "t.line", "t.ident")
+    own = F.floor(F.col("pos") / chunk)
+    shared = F.when((own > 0) & (F.col("pos") % chunk < k + w - 2), own - 1)
+    x = x.withColumn("chunk", F.explode_outer(F.array_compact(F.array(own, shared))))
+    order = Window.partitionBy("project_id", "chunk").orderBy("pos")
+    gram = F.collect_list("token").over(order.rowsBetween(0, k - 1))
+    x = x.withColumn("gram", gram).withColumn("h", F.when(F.size("gram") == k, hash_of(F.col("gram"))))
+    ahead = order.rowsBetween(0, w - 1)
+    best = x.select("project_id", "chunk", "pos", F.count("h").over(ahead).alias("n"), F.min(F.struct("h", (-F.col("pos")).alias("p"), "file_path", "line", "ident")).over(ahead).alias("b")).where((F.col("n") == w) & (F.floor(F.col("pos") / chunk) == F.col("chunk")))
+    return best.select("project_id", F.col("b.h").alias("hash_value"), (-F.col("b.p")).alias("token_pos"), F.col("b.file_path").alias("file_path"), F.col("b.line").alias("line_number"), F.col("b.ident").alias("raw_ident")).distinct()
+
+
 def ordered(fp: DataFrame) -> DataFrame:
     """fp with fidx, the index in its file, and pidx, the index in the project's stream of files. A project is numbered
     file by file, so that a large one isn't one task."""

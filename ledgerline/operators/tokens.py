@@ -177,6 +177,20 @@ def python_metrics(code: str) -> tuple[int, int, str] | None:
     return 1 + sum(isinstance(n, _BRANCHES) for n in nodes), sum(isinstance(n, _FUNCTIONS) for n in nodes), hashlib.sha256(shape.encode()).hexdigest()[:32]
 
 
+# Tokens of script code at which its flow branches, and those that open a function.
+SCRIPT_BRANCHES = {"IF", "FOR", "WHILE", "CASE", "CATCH", "OP:&&", "OP:||"}
+SCRIPT_FUNCTIONS = {"FUNC", "OP:=>"}
+
+
+def script_metrics(code: str) -> tuple[int, int, str] | None:
+    """(complexity, functions, fingerprint of the structure) of script code by its tokens; None where there are none."""
+    kinds = [t for t, _, _ in script_tokens(code)]
+    if not kinds:
+        return None
+    shape = " ".join(t for t in kinds if t not in ("VAR", "STR", "NUM") and not t.startswith("PROP:"))
+    return 1 + sum(t in SCRIPT_BRANCHES for t in kinds), sum(t in SCRIPT_FUNCTIONS for t in kinds), hashlib.sha256(shape.encode()).hexdigest()[:32]
+
+
 TOKENS = "array<struct<token:string,line:int,ident:string>>"
 _TYPE = pa.list_(pa.struct([("token", pa.string()), ("line", pa.int32()), ("ident", pa.string())]))
 
@@ -196,12 +210,13 @@ def tokenize(df: DataFrame, key: str, path: str, code: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(path), F.col(code)).mapInArrow(run, f"k {kind}, tokens {TOKENS}").withColumnRenamed("k", key)
 
 
-def metrics(df: DataFrame, key: str, code: str) -> DataFrame:
+def metrics(df: DataFrame, key: str, code: str, of=python_metrics) -> DataFrame:
+    """key, complexity, functions, fingerprint by one of the measures above; null where nothing parses."""
     kind = dict(df.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [python_metrics(c or "") for c in f.iloc[:, 1]]
+            got = [of(c or "") for c in f.iloc[:, 1]]
             yield pd.DataFrame({"k": f.iloc[:, 0], "complexity": pd.array([g and g[0] for g in got], "Int32"), "functions": pd.array([g and g[1] for g in got], "Int32"), "fingerprint": [g and g[2] for g in got]})
 
     return df.select(F.col(key).alias("k"), code).mapInPandas(run, f"k {kind}, complexity int, functions int, fingerprint string").withColumnRenamed("k", key)

@@ -184,9 +184,8 @@ sc as (select project_id, author_id, workload, meaningful, quality, timing, grea
 sb as (select *, case when score >= 8 and not free_rider then 'High Quality' when score >= 5 then 'Moderate' else 'Poor' end as band from sc)"""
 _RES = f"""rl as (select project_id, author_id, commit_ts, unnest(string_split(raw_diff, chr(10))) as l from f join c on c.hash = f.commit_hash where project_id is not null and author_id is not null and commit_ts is not null and raw_diff is not null),
 gone as (select project_id, trim(substr(l, 2), ' ') as line, author_id, min(commit_ts) as ts from rl where l like '-%' and l not like '---%' and length(trim(substr(l, 2), ' ')) >= 20 group by all),
-g1 as (select project_id, line, arg_min(author_id, (ts, author_id)) as who, min(ts) as ts from gone group by all),
 back as (select project_id, trim(substr(l, 2), ' ') as line, author_id, max(commit_ts) as ts from rl where l like '+%' and l not like '+++%' and length(trim(substr(l, 2), ' ')) >= 20 group by all),
-res as (select g1.project_id, cast(count(distinct g1.line) as integer) as n_resurrected from g1 join back b on b.project_id = g1.project_id and b.line = g1.line where b.author_id <> g1.who and b.ts > g1.ts group by g1.project_id)"""
+res as (select g.project_id, cast(count(distinct g.line) as integer) as n_resurrected from gone g join back b on b.project_id = g.project_id and b.line = g.line where b.author_id <> g.author_id and b.ts > g.ts group by g.project_id)"""
 ORACLES = {
     "bot_filter": f"with {q.A} select id, {_BOT} as is_bot, case when {_BOT} then true when {_rx(rules.KNOWN_BOTS)} then true when regexp_matches(lower(coalesce(email, '')), '{rules.PERSONAL_MAIL}') then false else {_rx(rules.BOT_WORD)} end as is_bot_extended from a",
     "email_local_parts": f"with {q.A} select id, {_LOCAL.format('email')} as local from a",

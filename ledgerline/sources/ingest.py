@@ -63,6 +63,19 @@ def source_tree(spark: SparkSession, path: str) -> DataFrame:
     return f.select(rel.alias("path"), F.translate(F.decode("content", F.lit("UTF-8")), "\0", "").alias("text")).where(T.compared(F.col("path")))
 
 
-def same_commit_latest(commits: DataFrame) -> DataFrame:
-    w = Window.partitionBy("hash").orderBy(F.desc("synced_at"))
-    return commits.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+def directory_listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, size of all files under a directory, without reading them."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rel = F.regexp_replace("path", "^.*?" + path.strip("/").replace(".", r"\.") + "/", "")
+    return f.select(rel.alias("path"), F.col("length").alias("size"))
+
+
+def file_content(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """path, text of one file below a directory; refuses a path that leads out of it."""
+    from ..operators.evidence import safe_path
+
+    inside = spark.range(1).select(safe_path(F.lit(path)).alias("p")).first()["p"]
+    if inside is None:
+        raise PermissionError("the path leads out of the directory")
+    f = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{inside}")
+    return f.select(F.lit(inside).alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
