@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,21 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("group_id").agg(F.count("*").alias("n_authors"))
 
 
+def _fingerprinted_files(spark: SparkSession, d: str) -> DataFrame:
+    """id (project:path), seq: the hashes of each fingerprinted file in order of their places, each place once."""
+    prints = _table(spark, d, "project_fingerprints").select("project_id", "file_path", "token_pos", "hash_value").where("file_path is not null and token_pos is not null and hash_value is not null")
+    files = prints.groupBy("project_id", "file_path", "token_pos").agg(F.min("hash_value").alias("hash_value"))
+    return files.groupBy(F.concat_ws(":", "project_id", "file_path").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", "hash_value"))), lambda x: x["hash_value"]).alias("seq"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     diffs = _table(spark, d, "file_changes").select("id", F.col("raw_diff").alias("seq"))
-    diffs = shared_spans(diffs, span=200, k=100, text=True)
+    # The two kinds of records share nothing: their jobs run side by side.
+    with ThreadPoolExecutor(2) as pool:
+        by_text = pool.submit(shared_spans, diffs, span=200, k=100, text=True)
+        by_hash = pool.submit(shared_spans, _fingerprinted_files(spark, d), span=20, k=10, text=False)
+        diffs, files = by_text.result(), by_hash.result()
     diffs = diffs.select(F.lit("diff").alias("record_kind"), F.col("id").cast("string").alias("record_key"), "shared_len")
-    prints = _table(spark, d, "project_fingerprints").select("project_id", "file_path", "token_pos", "hash_value").where("file_path is not null and token_pos is not null and hash_value is not null")
-    files = prints.groupBy("project_id", "file_path", "token_pos").agg(F.min("hash_value").alias("hash_value"))
-    files = files.groupBy(F.concat_ws(":", "project_id", "file_path").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", "hash_value"))), lambda x: x["hash_value"]).alias("seq"))
-    files = shared_spans(files, span=20, k=10, text=False)
     return diffs.unionByName(files.select(F.lit("file").alias("record_kind"), F.col("id").alias("record_key"), "shared_len"))
 
 

@@ -240,7 +240,7 @@ def _content(units, text: bool):
 BROADCAST_IDS = 500_000
 
 
-def shared_spans(records: DataFrame, span: int, k: int, text: bool, batches: int = 6, fan_in: int = 4) -> DataFrame:
+def shared_spans(records: DataFrame, span: int, k: int, text: bool, batches: int = 3, fan_in: int = 2) -> DataFrame:
     """id, shared_len for the records of which some stretch of at least ``span`` units stands in another record.
 
     records has the columns id (a unique key) and seq: a string (``text``, its units are characters as stored) or an
