@@ -115,7 +115,10 @@ def stream_dedupe(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
-    return streams.run_available(session_stream(streams.read_table_stream(s, d, "events"), "user_id", "ts", 90), "stream-sessions")
+    """Sessions of the event stream that its watermark has closed."""
+    x = streams.run_available(session_stream(streams.read_table_stream(s, d, "events"), "user_id", "ts", 90), "stream-sessions")
+    text = lambda c: F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+    return x.select("user_id", text("session_start"), text("session_end"), F.round("duration_s", 3).alias("duration_s"), "n_events")
 
 
 QUERIES = {f.__name__: f for f in (script_tokens, python_tokens, python_metrics, global_search, availability_check, student_directory, project_listing, projects_by_author, authors_with_commits, largest_commits, repository_structure, readme_quality, incremental_sync, dedupe_commits, author_upsert, mailmap_applied, stream_daily_window, stream_dedupe, stream_sessions)}
@@ -136,5 +139,7 @@ ORACLES = {
     "dedupe_commits": f"with {q.C} select hash, project_id, author_id, committer_email, strftime(synced_at, '%Y-%m-%d %H:%M:%S') as synced from c",
     "author_upsert": f"with {q.C}, n as (select lower(trim(committer_email)) as email, trim(committer_name) as name, min(commit_ts) as since from c where commit_ts is not null and committer_email is not null and committer_name is not null group by 1, 2) select email, arg_min(name, (since, name)) as name, string_agg(name, '|' order by since, name) as variants from n group by email",
     "mailmap_applied": f"with {q.A}, m as (select lower(trim(x.email)) as ce, lower(trim(y.email)) as email, trim(y.name) as name from a x join a y on y.id = x.canonical_author_id where x.email is not null and y.email is not null) select a.id, coalesce(m.name, a.name) as name, coalesce(m.email, a.email) as email from a left join m on m.ce = lower(trim(a.email))",
+    "stream_daily_window": "with e as (select date_trunc('day', ts) as day, ts from events where ts is not null) select strftime(day, '%Y-%m-%d') as day, count(*) as n from e group by e.day having e.day + interval 1 day <= (select max(ts) from events) - interval 1 day",
+    "stream_sessions": "with e as (select user_id, date_trunc('millisecond', ts) as ts from events where user_id is not null and ts is not null), f as (select *, case when ts - lag(ts) over w <= interval 90 minute then 0 else 1 end as fresh from e window w as (partition by user_id order by ts)), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from f), h as (select user_id, min(ts) as a, max(ts) as b, count(*) as n from g group by user_id, s) select user_id, strftime(a, '%Y-%m-%d %H:%M:%S') as session_start, strftime(b, '%Y-%m-%d %H:%M:%S') as session_end, round((epoch_ms(b) - epoch_ms(a)) / 1000.0, 3) as duration_s, n as n_events from h where b + interval 90 minute < date_trunc('millisecond', (select max(ts) from events)) - interval 1 day",
     "stream_dedupe": "select hash, min(project_id) as project_id from commits group by hash",
 }
