@@ -20,7 +20,7 @@ from ..runtime import Workspace
 
 # Fixed value: the published pattern by which this byte-level vocabulary cuts a text into pieces.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: So many leftover windows are merged in one task; more are merged in several groups first.
+#: So many leftover windows are merged in one task; more are merged in several groups, and what these leave again.
 MERGED_AT_ONCE = 200_000
 _LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
 
@@ -88,7 +88,7 @@ class Windows:
         return best, at
 
 
-def _merge(fills: list[tuple[tuple, int]], capacity: int) -> dict[tuple, tuple[int, int]]:
+def _merge(fills: list[tuple[object, int]], capacity: int) -> dict[object, tuple[int, int]]:
     """Leftover windows (name, tokens in it) joined best-fit, fullest first -> (number of the new container, base)."""
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     used: list[int] = []
@@ -106,7 +106,19 @@ def _merge(fills: list[tuple[tuple, int]], capacity: int) -> dict[tuple, tuple[i
     return out
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, open_windows: int = 32) -> DataFrame:
+def _merger(capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        used = dict(zip(frame["name"], frame["used"].tolist()))
+        to = _merge(list(used.items()), capacity)
+        full: dict[int, int] = {}
+        for name, (c, _) in to.items():
+            full[c] = full.get(c, 0) + used[name]
+        return pd.DataFrame([(name, f"m{level}-{frame['g'].iloc[0]}-{c}", base, full[c]) for name, (c, base) in to.items()], columns=["name", "merged", "base", "total"])
+
+    return merge
+
+
+def pack(items: DataFrame, key: str, size: str, capacity: int, open_windows: int = 32, merged_at_once: int = MERGED_AT_ONCE) -> DataFrame:
     """container_id, position, key, piece, piece_start, piece_size; every item once, split only if larger than ``capacity``.
 
     position is the offset of the piece in its container, piece_start its offset in the item. An item that is larger
@@ -145,17 +157,28 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, open_windows: int
     placed = space.write(rows.mapInArrow(fill, f"k {kind}, part int, win int, position int, piece int, piece_start bigint, piece_size int"), "placed")
     # One row per window left open, at most open_windows for each task.
     left = placed.where("piece = -1").select("part", "win", F.col("piece_start").alias("used"))
-    groups = max(1, -(-left.count() // MERGED_AT_ONCE))
-    left = left.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int"))
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        to = _merge([((p, w), n) for p, w, n in zip(frame["part"].tolist(), frame["win"].tolist(), frame["used"].tolist())], capacity)
-        return pd.DataFrame([(p, w, f"m{frame['g'].iloc[0]}-{c}", base) for (p, w), (c, base) in to.items()], columns=["part", "win", "merged", "base"])
-
-    moved = space.write(left.groupBy("g").applyInPandas(merge, "part int, win int, merged string, base int"), "moved")
-    out = placed.where("piece >= 0").join(moved, ["part", "win"], "left")
+    left = left.select(F.concat_ws("-", "part", "win").alias("name"), "used")
+    now, moved, level = space.write(left, "left"), None, 0
+    count = now.count()
+    while True:
+        groups = max(1, -(-count // merged_at_once))
+        step = now.withColumn("g", F.pmod(F.xxhash64("name", F.lit(level)), F.lit(groups)).cast("int"))
+
+        done = space.write(step.groupBy("g").applyInPandas(_merger(capacity, level), "name string, merged string, base int, total bigint"), f"merged{level}")
+        if moved is None:
+            moved = done.drop("total")
+        else:
+            again = done.select(F.col("name").alias("merged"), F.col("merged").alias("next"), F.col("base").alias("more"))
+            moved = moved.join(again, "merged", "left").select("name", F.coalesce("next", "merged").alias("merged"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
+            moved = space.write(moved, f"moved{level}")
+        # What several groups left with room in it meets once more; each round has fewer containers.
+        now = done.where(F.col("total") < capacity).select(F.col("merged").alias("name"), F.col("total").alias("used")).distinct()
+        before, count, level = count, now.count(), level + 1
+        if groups == 1 or count >= before:
+            break
+    out = placed.where("piece >= 0").withColumn("name", F.when(F.col("part").isNotNull(), F.concat_ws("-", "part", "win"))).join(moved, "name", "left")
     return out.select(
-        F.coalesce("merged", F.when(F.col("part").isNotNull(), F.concat_ws("-", "part", "win"))).alias("container_id"),
+        F.coalesce("merged", "name").alias("container_id"),
         (F.col("position") + F.coalesce("base", F.lit(0))).alias("position"),
         F.col("k").alias(key),
         "piece",

@@ -139,20 +139,21 @@ def test_packing(spark):
     rnd = random.Random(2)
     sizes = [(i, rnd.choice([0, 3, 40, 90, 100, 250, None])) for i in range(300)]
     df = spark.createDataFrame([(*s, "x") for s in sizes], "id int, n int, piece string").repartition(3)
-    rows = pack(df, "id", "n", 100, 4).collect()
-    got, fill = {}, {}
-    for r in rows:
-        got[r.id] = got.get(r.id, 0) + r.piece_size
-        if r.container_id:
-            fill.setdefault(r.container_id, []).append((r.position, r.piece_size))
-    assert got == {i: n or 0 for i, n in sizes}
-    for parts in fill.values():
-        at = 0
-        for p, n in sorted(parts):
-            assert p == at
-            at += n
-        assert at <= 100
-    assert len(fill) <= 1.15 * sum(n or 0 for _, n in sizes) / 100
+    for at_once in (1000, 5):
+        rows = pack(df, "id", "n", 100, 4, at_once).collect()
+        got, fill = {}, {}
+        for r in rows:
+            got[r.id] = got.get(r.id, 0) + r.piece_size
+            if r.container_id:
+                fill.setdefault(r.container_id, []).append((r.position, r.piece_size))
+        assert got == {i: n or 0 for i, n in sizes}
+        for parts in fill.values():
+            at = 0
+            for p, n in sorted(parts):
+                assert p == at
+                at += n
+            assert at <= 100
+        assert len(fill) <= 1.15 * sum(n or 0 for _, n in sizes) / 100
     assert pack(df.limit(0), "id", "n", 100).count() == 0
 
 
