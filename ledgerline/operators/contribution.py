@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import kept
 from .hierarchy import roots
 
 
 def canonical_map(authors: DataFrame) -> DataFrame:
     """author_id, root_id; an author whose chain never ends stands for itself."""
+    return kept(authors, "author-roots", _canonical_map)
+
+
+def _canonical_map(authors: DataFrame) -> DataFrame:
     r = roots(authors, "id", "canonical_author_id")
     return r.select(F.col("id").alias("author_id"), F.when(F.col("root_id") < 0, F.col("id")).otherwise(F.col("root_id")).alias("root_id"))
 

@@ -3,7 +3,7 @@ comparing everyone of a project with everyone else."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,6 +15,20 @@ def members(commits: DataFrame, authors: DataFrame, canon: DataFrame) -> DataFra
     return commits.where("project_id is not null and author_id is not null").select("project_id", F.col("author_id").alias("id")).distinct().join(a, "id")
 
 
+def _grams(c: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))
+
+
+def _inside(needles: DataFrame, addresses: DataFrame) -> DataFrame:
+    """project_id, ra, rb, key for every needle (project_id, root_id, key; three letters or more) that stands inside an address
+    (project_id, rb, local) of its project. They meet at the needle's rarest group of three letters."""
+    hay = addresses.select("project_id", "rb", "local", F.explode_outer(_grams("local")).alias("gram"))
+    spread = hay.groupBy("gram").agg(F.count("*").alias("n"))
+    each = needles.select("project_id", F.col("root_id").alias("ra"), "key", F.explode_outer(_grams("key")).alias("gram")).join(spread, "gram", "left")
+    rarest = each.groupBy("project_id", "ra", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    return rarest.join(hay, ["project_id", "gram"]).where(F.contains("local", "key")).select("project_id", "ra", "rb", "key")
+
+
 def split_identities(people: DataFrame) -> DataFrame:
     """Pairs of different roots of a project that may be one person: root_a < root_b, confidence and the checks met.
 
@@ -31,14 +45,12 @@ def split_identities(people: DataFrame) -> DataFrame:
 
     named = p.where("plain <> ''").select("project_id", "root_id", F.col("plain").alias("key")).distinct()
     same = meet(named, named, "name", F.lit(2))
-    # All stretches of an address of at least three characters, so that "is contained" becomes equality.
-    n = F.length("local")
-    starts = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    pieces = p.where(n >= 3).select("project_id", "root_id", "local", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.greatest(n - i + 1, F.lit(3))), lambda k: F.substring("local", i, k)))))).alias("key")).where("length(key) >= 3").select("project_id", "root_id", "key").distinct()
+    addresses = p.where("length(local) >= 3").select("project_id", F.col("root_id").alias("rb"), "local").distinct()
     token = p.select("project_id", "root_id", F.explode("tokens").alias("key")).distinct()
     login = p.where("hidden and length(local) >= 3").select("project_id", "root_id", F.col("local").alias("key")).distinct()
-    by_login = meet(login, pieces.unionByName(token.where("length(key) >= 3")).distinct(), "login", F.lit(2))
-    by_token = meet(token.where("length(key) >= 4"), pieces.where("length(key) >= 4"), "token", F.when(F.length("key") >= 6, 2).otherwise(1))
+    pair = lambda j, check, level: j.where("ra <> rb").select("project_id", F.least("ra", "rb").alias("root_a"), F.greatest("ra", "rb").alias("root_b"), F.lit(check).alias("check"), level.alias("level"))
+    by_login = meet(login, token.where("length(key) >= 3"), "login", F.lit(2)).unionByName(pair(_inside(login, addresses), "login", F.lit(2)))
+    by_token = pair(_inside(token.where("length(key) >= 4"), addresses), "token", F.when(F.length("key") >= 6, 2).otherwise(1))
     each = p.select("project_id", "id", "root_id", F.size("tokens").alias("size"), F.explode("tokens").alias("key"))
     left = each.select("project_id", "key", F.col("id").alias("ia"), F.col("root_id").alias("ra"), F.col("size").alias("sa"))
     right = each.select("project_id", "key", F.col("id").alias("ib"), F.col("root_id").alias("rb"), F.col("size").alias("sb"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +37,43 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+#: Results are kept only for inputs of at most so many files, as each is looked at before a result is taken again.
+KEPT_FILES = 1_000
+
+
+def _input_state(df: DataFrame) -> tuple | None:
+    """What a plan reads and when it was written; None if that isn't a moderate number of files."""
+    files = sorted(df.inputFiles())
+    if not 0 < len(files) <= KEPT_FILES:
+        return None
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for f in files:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        state.append((f, s.getModificationTime(), s.getLen()))
+    return (spark.sparkContext.applicationId, df.semanticHash(), tuple(state))
+
+
+def kept(df: DataFrame, purpose: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df), written once per application for a plan over unchanged files and read again by whoever asks for it next."""
+    key = _input_state(df)
+    if key is None:
+        return make(df)
+    if (purpose, key) not in _KEPT:
+        _KEPT[purpose, key] = Workspace(df.sparkSession, purpose).write(make(df), "kept")
+    return _KEPT[purpose, key]
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application; results that were not written elsewhere go with them."""
     for t in spark.catalog.listTables():
         if t.name.startswith("ledgerline_run_"):
             spark.sql(f"drop table if exists {t.name}")
     remove(spark, home(spark))
+    _KEPT.clear()
 
 
 class Workspace:

@@ -102,3 +102,34 @@ def test_copied_code_with_other_names_is_reported_at_the_default_limits(spark):
     same = fp.withColumn("raw_ident", F.regexp_replace("raw_ident", "^other", "alpha"))
     reports = {(r.pa, r.pb): r for r in sim.compare(same).reports.collect()}
     assert reports[1, 2].score > 95 and reports[1, 2].confidence == "HIGH" and reports[1, 2].score == max(r.score for r in reports.values())
+
+
+def test_kept_results_follow_their_input(spark, tmp_path):
+    from ledgerline import runtime
+
+    made = []
+
+    def make(df):
+        made.append(1)
+        return df.groupBy().agg(F.sum("id").alias("s"))
+
+    path = str(tmp_path / "t")
+    ask = lambda: runtime.kept(spark.read.parquet(path), "kept-test", make).first()["s"]
+    spark.range(5).write.parquet(path)
+    assert (ask(), ask(), len(made)) == (10, 10, 1)
+    spark.range(6).write.mode("overwrite").parquet(path)
+    assert (ask(), len(made)) == (15, 2)
+    assert runtime.kept(spark.range(3), "kept-test", make).first()["s"] == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from ledgerline import runtime
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(fake)
