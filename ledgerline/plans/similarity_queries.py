@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import similarity as op
+from ..runtime import kept_steps
 from ..sources import tables as t
 from . import sql as q
 
@@ -19,7 +20,7 @@ def _fp(s: SparkSession, d: str) -> DataFrame:
 
 
 def _compare(s: SparkSession, d: str) -> op.Comparison:
-    return op.compare(_fp(s, d), LIMITS)
+    return kept_steps(_fp(s, d), "comparison", lambda fp: op.compare(fp, LIMITS))
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:

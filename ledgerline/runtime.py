@@ -37,7 +37,7 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+_KEPT: dict[tuple, object] = {}
 #: Results are kept only for inputs of at most so many files, as each is looked at before a result is taken again.
 KEPT_FILES = 1_000
 
@@ -57,16 +57,21 @@ def _input_state(df: DataFrame) -> tuple | None:
     return (spark.sparkContext.applicationId, df.semanticHash(), tuple(state))
 
 
-def kept(df: DataFrame, purpose: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """make(df), written once per application for a plan over unchanged files and read again by whoever asks for it next."""
+def kept_steps(df: DataFrame, purpose: str, make: Callable[[DataFrame], object]) -> object:
+    """make(df), whose tables are written ones, made once per application for a plan over unchanged files."""
     key = _input_state(df)
     if key is None:
         return make(df)
     if (purpose, key) not in _KEPT:
-        _KEPT[purpose, key] = Workspace(df.sparkSession, purpose).write(make(df), "kept")
+        _KEPT[purpose, key] = make(df)
     return _KEPT[purpose, key]
 
 
+def kept(df: DataFrame, purpose: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df), written once per application for a plan over unchanged files and read again by whoever asks for it next."""
+    return kept_steps(df, purpose, lambda x: Workspace(x.sparkSession, purpose).write(make(x), "kept"))
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application; results that were not written elsewhere go with them."""
     for t in spark.catalog.listTables():

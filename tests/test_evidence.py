@@ -133,3 +133,34 @@ def test_a_cluster_needs_a_shared_folder():
     fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
     with pytest.raises(RuntimeError):
         runtime.shared_dir(fake)
+
+
+def test_second_pass_finds_the_short_run_inside_a_cluster(spark):
+    files = {1: list(range(100, 130)) + [7, 8, 9, 10], 2: list(range(100, 130)) + [1, 2] + list(range(200, 230)), 3: [7, 8, 9, 10] + list(range(200, 230)), 4: list(range(300, 340))}
+    rows = [(1, p, "f", i, h, i, None) for p, hs in files.items() for i, h in enumerate(hs)]
+    fp = spark.createDataFrame(rows, "scope int, project_id int, file_path string, token_pos int, hash_value bigint, line_number int, raw_ident string")
+    projects = spark.createDataFrame([(i, i) for i in files], "id int, created_at int")
+    c = sim.compare(fp, sim.Limits(10.0, 60, 60, 0.0))
+    assert {(r.pa, r.pb) for r in c.reports.collect()} == {(1, 2), (2, 3)}
+    groups = sim.clusters(c.reports, projects, least_score=0.0, least_size=3)
+    assert {r.project_id for r in groups.collect()} == {1, 2, 3}
+    found = sim.second_pass(c, groups, sim.Limits(0.0, 15, 15, 0.0)).collect()
+    assert [(r.pa, r.pb, r.longest_run_tokens) for r in found] == [(1, 3, 20)]
+
+
+def test_protected_runs_against_pairs(spark):
+    """Shared stretches of ten against every pair of projects, with repeated hashes inside some runs."""
+    rnd = random.Random(6)
+    runs = [[rnd.randrange(1000, 9999) for _ in range(12)], [5, 5, 6, 6, 5, 5, 6, 6, 5, 5, 6]]
+    files = {p: {f: sum((rnd.choice([*runs, [rnd.randrange(50)]]) for _ in range(rnd.randrange(2, 7))), []) for f in "ab"} for p in range(1, 7)}
+    rows = [(p % 2, p, f, i, h, i, None) for p, fs in files.items() for f, hs in fs.items() for i, h in enumerate(hs)]
+    fp = sim.ordered(spark.createDataFrame(rows, "scope int, project_id int, file_path string, token_pos int, hash_value bigint, line_number int, raw_ident string"))
+    want = set()
+    for p in files:
+        for r in files:
+            if p < r and p % 2 == r % 2 and len({h for x in files[p].values() for h in x} & {h for x in files[r].values() for h in x}) >= 10:
+                for x in files[p].values():
+                    for y in files[r].values():
+                        grams = {tuple(y[j : j + 10]) for j in range(len(y) - 9)}
+                        want |= {(p % 2, h) for i in range(len(x) - 9) if tuple(x[i : i + 10]) in grams for h in x[i : i + 10]}
+    assert {(r.scope, r.hash_value) for r in sim.protected_hashes(fp).collect()} == want
