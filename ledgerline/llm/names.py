@@ -324,8 +324,8 @@ def _cuts(t: str) -> set[str]:
     return {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
 
 
-def lookup_keys(name: str | None, email: str | None, variants: list[str] | None) -> set[str]:
-    """The keys under which a given name that may occur in a record is found: "=" whole, "~" with a slip."""
+def lookup_keys(name: str | None, email: str | None, variants: list[str] | None, slips: bool = True) -> set[str]:
+    """The keys under which a given name that may occur in a record is found: "=" whole and, with ``slips``, "~" with one."""
     out: set[str] = set()
     words: set[str] = set()
     for form in [name, *(variants or [])]:
@@ -337,24 +337,24 @@ def lookup_keys(name: str | None, email: str | None, variants: list[str] | None)
     pieces = {x for x in re.split(r"[._\-\s]+", re.sub(r"\d*$", "", local)) if x.isalpha()} | {re.sub(r"[^a-z]", "", local)}
     for w in words | pieces:
         out.add("=" + w)
-        if 4 <= len(w) <= 40:
+        if slips and 4 <= len(w) <= 40:
             out |= {"~" + c for c in _cuts(w)}
         # A given name may be run together with the rest of a login.
         out |= {"=" + w[:i] for i in range(4, min(len(w), 20))} | {"=" + w[i:] for i in range(max(1, len(w) - 20), len(w) - 3)}
     return out - {"=", "~"}
 
 
-def _with_lexicon(rows: DataFrame, given: DataFrame, nick: DataFrame, space: Workspace, name: str) -> DataFrame:
+def _with_lexicon(rows: DataFrame, given: DataFrame, nick: DataFrame, space: Workspace, name: str, slips: bool = True) -> DataFrame:
     """rows with the entries (t, canon) of given(t) and nick(t, canon) that may occur in them, found by equality of keys."""
 
     def record_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [(i, k) for i, n, e, v in zip(f["id"], f["name"], f["email"], f["variants"]) for k in lookup_keys(n, e, list(v) if v is not None else None)]
+            got = [(i, k) for i, n, e, v in zip(f["id"], f["name"], f["email"], f["variants"]) for k in lookup_keys(n, e, list(v) if v is not None else None, slips)]
             yield pd.DataFrame(got, columns=["id", "key"])
 
     def entry_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [(t, c, k) for t, c in zip(f["t"], f["canon"]) for k in ["=" + t, *(["~" + x for x in _cuts(t)] if len(t) >= 5 and not c else [])]]
+            got = [(t, c, k) for t, c in zip(f["t"], f["canon"]) for k in ["=" + t, *(["~" + x for x in _cuts(t)] if slips and len(t) >= 5 and not c else [])]]
             yield pd.DataFrame(got, columns=["t", "canon", "key"])
 
     kind = dict(rows.dtypes)["id"]
@@ -415,7 +415,7 @@ def _learn(rows: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
                 out += [(a, b) for a in firsts for b in fulls if a != b and len(a) < len(b)]
             yield pd.DataFrame(out, columns=["nick", "full"])
 
-    known = _with_lexicon(rows, given, none, space, "with_given")
+    known = _with_lexicon(rows, given, none, space, "with_given", slips=False)
     counts = known.select("name", "email", "variants", "lexicon").mapInPandas(nicks, "nick string, full string").groupBy("nick", "full").agg(F.count("*").alias("n"))
     w = Window.partitionBy("nick")
     best = counts.withColumn("all", F.sum("n").over(w)).where((F.col("n") >= NICK_RECORDS) & (F.col("n") >= NICK_SHARE * F.col("all")))
