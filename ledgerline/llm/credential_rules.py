@@ -75,7 +75,7 @@ RULES = [
     Rule("command_password", r"(?:--password|--passwd|--token|--secret|--api-?key|sshpass -p|\b(?:mysql\w{0,8}|mariadb\w{0,8}|docker login|mongo\w{0,8}|ldap\w{0,8}|redis-cli|htpasswd|smbclient|zip)\b[^\r\n]{0,80}\s-[pPaw])[\s=]{0,2}[\"']?([^\s\"'`{}$<>]{4,})", "either"),
 ]
 #: Names whose value stands on the line below: a name with an operator and nothing after it, or the entry of a list of settings.
-OPEN_NAME = Rule("open_name", _NAME + _TAIL + r"""["'`]?[\])]?\s{0,3}(?:(?::=|=>|=|:|,|\(|\|\|)\s{0,3}[\\(]?|["']?)\s{0,3}$""", "open")
+OPEN_NAME = Rule("open_name", _NAME + _TAIL + r"""["'`]?[\])]?\s{0,3}(?:(?::=|=>|=|:|\(|\|\|)\s{0,3}[\\(]?|["']?)\s{0,3}$""", "open")
 NEXT_VALUE = re.compile(r"""^[+\- ]?\s*(?:["']?value["']?\s{0,2}[:=]\s{0,2})?[brfu]{0,2}["'`]([^"'`\r\n]{4,})["'`][\s,;)\\}]*$|^[+\- ]?\s*["']?value["']?\s{0,2}[:=]\s{0,2}((?![$!@%&*|])[^\s"'`;,(){}<>\[\]]{6,})\s*$""", re.IGNORECASE)
 NEXT_QUOTED = re.compile(r"""^[+\- ]?\s*["']?value["']?\s{0,2}[:=]""", re.IGNORECASE)
 
@@ -83,10 +83,13 @@ NEXT_QUOTED = re.compile(r"""^[+\- ]?\s*["']?value["']?\s{0,2}[:=]""", re.IGNORE
 _STAND_IN_WORDS = set("your my our the insert replace enter change put add some here me this it own with to in of a an is and or for from token tokens key keys secret secrets password passwords passwd passphrase pass pwd pw value values api access auth user username login name string text field example examples placeholder dummy sample redacted masked hidden removed todo fixme tbd lorem ipsum foo bar baz foobar test testing demo fake mock not real none null nil empty default changeme changeit xxx xxxx abc abcd client id private public prod dev local service account db database".split())
 STOCK = set("changeme change_me change-me changeit password passw0rd p@ssw0rd p@ssword pa55word password1 password123 passwort admin admin123 administrator root toor guest user usuario username test test123 testing secret default postgres mysql oracle sa master letmein welcome welcome1 qwerty qwerty123 123456 12345678 123456789 1234 12345 111111 abc123 iloveyou monkey dragon minioadmin rabbitmq redis mongo mongodb elastic pass pass123 pwd token apikey none null empty string optional required hunter2 tomcat s3cret manager raspberry ubnt alpine vagrant docker calvin cisco password1! admin@123 p@ssw0rd1 changethis yourpassword mypassword supersecret foobared geheim contraseña contrasena".split())
 _STOCK_CORE = set("password passwort admin root test user guest changeme pass example foo bar foobar demo sample dummy placeholder abc abcd qwerty letmein yourpassword mypassword".split())
+_LEET = str.maketrans("4031$5@7", "aoeissat")
+# Names of formats and services that hold digits and stand in identifiers.
+_TECH = re.compile(r"(?<![a-z])(?:s3|ec2|utf\d+|x509|b64\w*|base64|u?int\d+|float\d+|sha\d+|md5|oauth2?|h26\d|v\d+|mp[34]|k8s|i18n|ipv[46]|http2|p12|pkcs\d+|[rhep]s\d{3}|aes\d+|ed25519|ssh2|\d{1,3})(?![a-z0-9])", re.IGNORECASE)
 _SHAPE = re.compile(r"(?i)^(?:\*+|x{3,}|[.•_-]{3,}|0+|1234\w*|abcd?(?:efg?h?)?\d*|true|false|undefined|yes|no|on|off)$|^<.*>$|^\[.*\]$|^\{.*\}$|x{6,}|\*{3,}|\.{3,}|•{2,}|^ENC\(|^AES\(|^vault:|^secret(?:s|sm)?[:.]|^ssm:|^env[.:]|^arn:|^op://|^file:|^classpath:")
 _PREFIXED_STAND_IN = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|EXAMPLE|your[_-]?|placeholder|0{8,}|123456789|abcdefgh|replace|insert|redacted|dummy|fake")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
-REFERENCE = re.compile(r"^(?:\$|%[A-Z_]+%|\{|<|@|&|!)|\$\{|\{\{|<[A-Za-z_ -]+>|\$\(|%\(|^%[sdv]$|\{\w*\}|^[A-Za-z_]+(?:\.[A-Za-z_]+|\[\w+\]|\(\)|::[A-Za-z_]+)+$|^/[\w/.-]+$|^\w+\(|getenv|environ|process\.env|System\.env|Deno\.env|import\.meta")
+REFERENCE = re.compile(r"^(?:\$|%[A-Z_]+%|\{|<|@|&|!)|\$\{|\{\{|<[A-Za-z_ -]+>|\$\(|%\(|^%[sdv]$|\{\w*\}|^[A-Za-z_]+(?:\.[A-Za-z_]+|\[\w+\]|\(\)|::[A-Za-z_]+)+$|^/[\w/.-]+$|^\w+\(|\(\?[:=!]|\[\^|\\[wWsSdDb]|getenv|environ|process\.env|System\.env|Deno\.env|import\.meta")
 NOT_SECRET_NAME = re.compile(r"(?i)(?:sha\d*|hash|hashed|digest|checksum|integrity|fingerprint|commit|revision|rev|uuid|public[_-]?key|primary[_-]?key|foreign[_-]?key|cache[_-]?key|sort[_-]?key|partition[_-]?key|key[_-]?id|pubkey|host[_-]?key)\W{0,4}$")
 _NAME_TAIL = re.compile(_NAME + r"([\w.\]-]*)", re.IGNORECASE)
 _OTHER_TAIL = re.compile(r"(?i)^[_.-]?(?:question|answer|policy|policies|field|label|hint|placeholder|length|len|min|max|hash|hashed|digest|salt|url|uri|path|file|filename|dir|folder|name|id|ids|type|format|regex|pattern|error|errors|message|msg|title|reset|prompt|header|endpoint|expir\w*|ttl|count|size|index|provider|strength|rules?|input|column|attribute|attr|param|env|var|variable|ref|source|arn|manager|store|service|encoder|kind|algorithm|issuer|audience|location|class|icon|page|form|view|screen|route|helper|test|schema|state|status|list|limit|version|scope|policy\w*)s?(?:[_.-]\w*)?$")
@@ -107,6 +110,8 @@ def stand_in(v: str) -> bool:
         return True
     if v.isalpha() and re.search(r"passwor[dt]|passwd|secret|token|apikey|changeme|placeholder|example|dummy", low):
         return True
+    if low.translate(_LEET) in _STOCK_CORE:
+        return True
     words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", v)]
     digits = sum(c.isdigit() for c in v)
     if words and digits <= 4 and all(w in _STAND_IN_WORDS for w in words):
@@ -126,7 +131,7 @@ def is_token(v: str) -> bool:
         return False
     if digits:
         # Words joined to a name with a number at the end aren't random.
-        return not re.fullmatch(r"(?:[A-Za-z]?[a-z]+[-_./]?)+\d{0,3}|(?:[A-Z]+[-_.]?)+\d{0,3}", v)
+        return not re.fullmatch(r"[A-Za-z][a-z]*(?:[A-Z][a-z]*|[-_./][A-Za-z][a-z]*)*[-_./]?\d{0,3}|[A-Z]+(?:[-_.][A-Z]+)*[-_.]?\d{0,3}", v)
     # No digit at all: a word or path has few changes of case, random letters have many.
     flips = sum(a.isupper() != b.isupper() for a, b in zip(core, core[1:]))
     return flips >= 0.3 * len(core) and entropy(v) > 3.5
@@ -134,9 +139,20 @@ def is_token(v: str) -> bool:
 
 def is_identifier(v: str) -> bool:
     """Written as one writes a name in code: words in one consistent style, perhaps with one digit at the end."""
+    v = v.strip("_")
+    if v.isalpha() and sum(a.isupper() != b.isupper() for a, b in zip(v, v[1:])) <= len(v) / 3:
+        return True
     return bool(re.fullmatch(r"[a-z]+(?:[ ._/:-]{1,2}[a-z]+)*\d?|[A-Z]+(?:[_-][A-Z]+)*\d?|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*(?:[A-Z]{2,4})?\d?|[A-Z][a-z]+(?:[-_.][A-Z]?[a-z]+)+\d?", v))
 
 
+def is_code_name(v: str) -> bool:
+    """A name in code whose digits belong to formats and services, such as the last part of an assignment."""
+    if not re.search(r"[_.]", v) or not re.search(r"\d", v):
+        return False
+    parts = [_TECH.sub("", p) for p in re.split(r"[_.]", v)]
+    return all(not p or p.isalpha() and is_identifier(p) for p in parts) and any(not p for p in parts)
+
+
 def _kinds(v: str) -> int:
     return sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
 
@@ -176,7 +192,7 @@ def is_strong(v: str) -> bool:
         return False
     if digits:
         return len(v) >= 8 and (digits >= 2 or _kinds(v) >= 3) and not re.fullmatch(r"[A-Za-z]+[._-]\d+|\d+[A-Za-z]{1,3}", v)
-    return len(v) >= 8 and bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z][a-z][A-Z]", v)) and not re.fullmatch(r"(?:[A-Z]?[a-z]+[.'’-]?)+[.,;:!?]*|[A-Z]?[a-z]+(?:[A-Z][a-z]*)+s?[.,;:!?]*", v)
+    return len(v) >= 8 and bool(re.search(r"[_!#$%&*+?@^~]", v)) and bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z][a-z][A-Z]", v)) and not re.fullmatch(r"[A-Z]?[a-z]+(?:[A-Z][a-z]+|[.'’-][A-Z]?[a-z]+)*[.'’-]?[.,;:!?]*|[A-Z]?[a-z]+(?:[A-Z][a-z]*)+s?[.,;:!?]*", v)
 
 
 def judge(rule: Rule, value: str, before: str) -> bool:
@@ -206,6 +222,8 @@ def judge(rule: Rule, value: str, before: str) -> bool:
             if _OTHER_TAIL.match(m.group(1)):
                 return False
             phrase = rule.name == "named_string" and not m.group(1) and bool(re.match(r"(?i)pass|pwd|kennwort|contrase", before)) and not re.search(r",\s*\W?$", before)
+    if rule.name in ("named_bare", "env_key", "prose_token_after", "prose_after", "env_line") and is_code_name(value):
+        return False
     if rule.kind == "token":
         return is_token(value)
     if rule.kind == "strong":
@@ -220,6 +238,8 @@ def judge(rule: Rule, value: str, before: str) -> bool:
 COMPILED = [re.compile(r.pattern, re.IGNORECASE) for r in RULES]
 OPEN_COMPILED = re.compile(OPEN_NAME.pattern, re.IGNORECASE)
 _JOINED = re.compile(r"""(["'])\s{0,4}(?:\+|\.\.|\.)\s{0,4}\1""")
+_LISTED = re.compile(r"""["'`]\]?\s{0,20},\s{0,20}[brfu@]{0,2}["'`]$""", re.IGNORECASE)
+_CALLED = re.compile(r"""\w\(\s{0,3}["'`][\w.-]*$""")
 _ADDRESSED = {"url_userinfo", "dsn"}
 _OVERLAPPING = {"named_string", "named_bare", "prose_after", "prose_slash", "prose_pair", "prose_password", "login_call"}
 _TRIMMED = {"named_bare", "prose_slash", "prose_pair", "prose_password", "prose_after", "env_line"}
@@ -259,6 +279,8 @@ def spans_of(line: str, rules: list[int], follow: bool = True) -> list[tuple[int
                     trimmed = value.rstrip(",;.)")
                     e -= len(value) - len(trimmed)
                     value = trimmed
+                if rule.name == "named_string" and _LISTED.search(text, m.start(), s) and not _CALLED.search(text[max(0, m.start() - 80) : m.start()]):
+                    continue  # a name and its neighbour in a list, not a look-up with a default
                 if value and judge(rule, value, text[max(0, m.start()) : s] if rule.kind != "key" else ""):
                     lo, hi = (s, e) if places is None else (places[s], places[e - 1] + 1)
                     if rule.kind == "key" or not DATA_URI.search(line[max(0, lo - 4000) : lo]):

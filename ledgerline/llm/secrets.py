@@ -113,7 +113,7 @@ def _hits(texts: pa.Array) -> Iterator[tuple[int, int, list]]:
             if _OPEN in rules and n + 1 < len(lines) and lines[n + 1] < row_end and (m := OPEN_COMPILED.search(line.rstrip("\r"))) is not None:
                 below = line_at(n + 1)
                 if (v := NEXT_VALUE.match(below.rstrip("\r"))) is not None:
-                    opened = re.search(r"[=:(,|]\s*\\?$", line.rstrip("\r")) or NEXT_QUOTED.match(below)
+                    opened = re.search(r"[=:(|]\s*\\?$", line.rstrip("\r")) or NEXT_QUOTED.match(below)
                     rule = OPEN_NAME if v.group(1) is None else Rule("named_bare", "", "bare")
                     value = v.group(v.lastindex)
                     if opened and judge(Rule(rule.name, "", "either" if v.group(1) is not None else "bare"), value, m.group()):

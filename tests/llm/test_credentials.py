@@ -6,6 +6,7 @@ import string
 import pyarrow as pa
 import pytest
 
+from ledgerline.llm import credential_rules as CR
 from ledgerline.llm.secrets import MASK, _hits, blank_out
 
 
@@ -105,9 +106,25 @@ DEAD = [
     'if line.startswith("-----BEGIN RSA PRIVATE KEY-----"):',
     "the login page loads in 250 / 300ms on the host",
     "access as admin with sha256",
+    "names = ['user_password', 'ACAccountStore7', 'x']",
+    "host, access_key, secret_key = s3_example_simple",
+    "password: _PasswordType | None = None,",
+    "secret = utf8_deserializer.loads(infile)",
+    "client.authenticate('test', 'p4ssw0rd')",
 ]
 
 
+def test_long_values_take_linear_time():
+    import time
+
+    start = time.time()
+    for v in ("a" * 60_000 + "1", "aB" * 30_000 + "1!", "a.b" * 20_000 + "_1", "A_" * 30_000 + "1x", "x" * 50_000):
+        for f in (CR.is_token, CR.is_strong, CR.is_password, CR.is_identifier, CR.is_code_name, CR.stand_in):
+            f(v)
+    lines_found('+password = "' + "aBc-" * 20_000 + '1"\n+token: ' + "ab_" * 20_000 + "9\n")
+    assert time.time() - start < 20
+
+
 def lines_found(text):
     return {n for _, n, _ in _hits(pa.array([text]))}
 
