@@ -39,8 +39,9 @@ def test_line_removed_by_two_authors(spark):
     rows = [(1, 1, day(1), "-" + a), (1, 2, day(2), "-" + a), (1, 1, day(3), "+" + a), (1, 2, day(4), "+" + a)]
     rows += [(2, 1, day(1), "-" + a), (2, 2, day(2), "-" + a), (2, 1, day(3), "+" + a)]
     rows += [(3, 1, day(1), "-" + b), (3, 1, day(3), "+" + b), (3, 1, day(1), "-" + c), (3, 2, day(3), "-" + c), (3, 1, day(2), "+" + c)]
-    df = spark.createDataFrame(rows, "project_id int, author_id int, commit_ts timestamp_ntz, raw_diff string")
-    assert {r.project_id: r.n_resurrected for r in scoring.resurrections(df).collect()} == {1: 1, 2: 1}
+    commits = spark.createDataFrame([(str(i), *r[:3]) for i, r in enumerate(rows)], "hash string, project_id int, author_id int, commit_ts timestamp_ntz")
+    changes = spark.createDataFrame([(str(i), r[3]) for i, r in enumerate(rows)] + [("0", rows[0][3]), ("x", "-" + a), ("1", None)], "commit_hash string, raw_diff string")
+    assert {r.project_id: r.n_resurrected for r in scoring.resurrections(changes, commits).collect()} == {1: 1, 2: 1}
 
 
 def test_connected(spark):
