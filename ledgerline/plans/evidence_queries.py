@@ -237,5 +237,7 @@ ORACLES = {
     "status_updates": f"with {sq._REP} select pa || '-' || pb as pair, case when pa % 2 = 0 then 'Confirmed' else 'Needs Review' end as status from rep",
     "fingerprints_replaced": "with fq as (select distinct project_id, file_path, token_pos, hash_value from project_fingerprints where project_id is not null and file_path is not null and token_pos is not null and hash_value is not null) select project_id, count(*) as n_positions, max(token_pos) as last_pos from fq where project_id % 2 <> 0 or token_pos < 100 or project_id not in (select project_id from fq where project_id % 2 = 0 and token_pos < 100) group by project_id",
     "directory_tree": _TREE,
+    # Without a reduction over .. as in the query: a path with such a step inside its directory would differ here.
+    "safe_paths": "with f as (select distinct filename, replace(filename, chr(92), '/') as p from file_changes where id is not null and filename is not null), g as (select filename, p, list_filter(string_split(p, '/'), lambda v: v not in ('', '.')) as ps from f) select filename, case when not starts_with(p, '/') and not regexp_matches(p, '^[A-Za-z]:') and not list_contains(ps, '..') and len(ps) > 0 then array_to_string(ps, '/') end as opened from g",
     "stream_fingerprints": f"with tk as (select project_id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}0-9]+') as ts from documents where project_id is not null), st as (select project_id, token, row_number() over (partition by project_id order by doc_id, i) - 1 as p from (select project_id, doc_id, unnest(ts) as token, unnest(range(1, len(ts) + 1)) as i from tk)), gr as (select project_id, p, list(token) over (partition by project_id order by p rows between current row and {rules.K - 1} following) as g from st), h as (select project_id, p, cast('0x' || substr(sha256(array_to_string(g, '-')), 1, 15) as bigint) as h from gr where len(g) = {rules.K}), w as (select project_id, min({{'h': h, 'p': -p}}) over o as b, count(*) over o as n from h window o as (partition by project_id order by p rows between current row and {rules.W - 1} following)) select distinct project_id, b.h as hash_value, -b.p as token_pos from w where n = {rules.W}",
 }
